@@ -1,0 +1 @@
+"""The jobs this package re-expresses are batch only, so there is no streaming operator."""
