@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakekit.functions.paths import glob_to_regex
 from lakekit.operators.matching import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
-from lakekit.session import checkpointed
+from lakekit.session import stored
 
 LITERAL_SALTS = 16
 INLINE_RULES = 64
@@ -25,7 +25,7 @@ def compile_rules(rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Add path_regexes and, for pattern rules, the group that holds the id; drop what cannot match.
 
     Pattern rules whose pattern does not compile cover nothing. Named groups are written as plain
-    ones, which keeps their numbers. Rules that agree in all of this and in ``keep`` are kept once.
+    ones, which keeps their numbers. ``keep`` names further columns to carry along.
     """
     pattern = F.when(F.col("is_regex"), F.regexp_replace("find_value", r"\(\?P<[A-Za-z_]\w*>", "("))
     compiles = F.expr("try_reflect('java.util.regex.Pattern', 'compile', pattern)").isNotNull()
@@ -44,7 +44,6 @@ def compile_rules(rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
             "pattern",
             F.when(F.col("is_regex"), has_group.cast("int")).alias("group_no"),
         )
-        .distinct()
     )
 
 
@@ -77,7 +76,7 @@ def uncovered_by_literals(
         return occurrences.join(F.broadcast(literals), (F.col("id") == F.col("find_value")) & scope, "left_anti")
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in occurrences.columns])
     spread = occurrences.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
-    repeated = literals.withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = literals.distinct().withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = (F.col("id") == F.col("find_value")) & (F.col("_salt") == F.col("_rule_salt"))
     return spread.join(repeated, same & scope, "left_anti").drop("_salt")
 
@@ -102,7 +101,7 @@ def uncovered_by_patterns(
     found = F.call_function("regexp_extract", F.col("context"), F.col("pattern"), F.col("group_no"))
     covers = F.when(F.col("group_no") == 1, found == F.col("id")).otherwise(F.contains(found, F.col("id")))
     condition = agree & in_scope(F.col("item_type"), F.col("rel_path")) & covers
-    for part in _bounded_parts(checkpointed(patterns)):
+    for part in _bounded_parts(stored(patterns.distinct(), "patterns")):
         occurrences = occurrences.join(F.broadcast(part), condition, "left_anti")
     return occurrences
 

@@ -145,15 +145,23 @@ def named_ids(
     )
 
 
-def notebook_ids(df: DataFrame, text: str = "text") -> DataFrame:
-    """Identifier occurrences in notebook texts: field_name, id, line_no and the stripped line."""
+def notebook_ids(
+    df: DataFrame,
+    text: str = "text",
+    marker: str = MARKER,
+    fields: list[str] = NOTEBOOK_FIELDS,
+    block_key: str = BLOCK_KEY,
+    block_end: str = BLOCK_END,
+    id_field: str = BLOCK_ID_FIELD,
+    id_pattern: str = GUID_PATTERN,
+    pair_pattern: str = GUID_PAIR_PATTERN,
+) -> DataFrame:
+    """Identifier occurrences on the marker lines of texts: line_no, field_name, id and the stripped line."""
     rest = [c for c in df.columns if c != text]
-    lines = block_lines(df, text).filter(F.rlike("line", F.lit(GUID_PATTERN)))
+    lines = block_lines(df, text, marker, block_key, block_end).filter(F.rlike("line", F.lit(id_pattern)))
+    pairs = named_ids(F.col("line"), F.col("inside"), fields, block_key, id_field, id_pattern, pair_pattern)
     found = lines.select(
-        *rest,
-        "line_no",
-        strip_space(F.col("line")).alias("context"),
-        F.explode(named_ids(F.col("line"), F.col("inside"))).alias("_pair"),
+        *rest, "line_no", strip_space(F.col("line")).alias("context"), F.explode(pairs).alias("_pair")
     )
     return found.select(*rest, "line_no", "_pair.field_name", "_pair.id", "context")
 

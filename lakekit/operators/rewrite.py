@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakekit.constants import ALL_ENVIRONMENTS
 from lakekit.operators.coverage import compile_rules
 from lakekit.operators.matching import BROADCAST_ROWS, fits_broadcast
-from lakekit.session import checkpointed
+from lakekit.session import stored
 
 # References a replacement may hold. The "$" before the attribute is optional.
 ITEM_REFERENCE = r"^\$items\.([^.]+)\.(.+)\.\$?([A-Za-z]+)$"
@@ -65,7 +65,7 @@ def rewrite(df: DataFrame, rules: DataFrame, order: list[str], text: str = "text
         raise ValueError("a replacement could not be resolved")
     if fits_broadcast(prepared, rules_per_pass):
         return _apply(df, text, _as_array(prepared, order))
-    ordered = checkpointed(
+    ordered = stored(
         prepared.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
     row = F.col("_at").bitwiseAND(2**_ROW_BITS - 1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakekit.constants import EXIT_FAILED, EXIT_OK
 from lakekit.functions.values import display_name, status_of
 from lakekit.operators.matching import match
-from lakekit.session import checkpointed
+from lakekit.session import stored
 
 PAGE_ROWS = 10_000
 # Names and types of a result document.
@@ -93,7 +93,7 @@ def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAG
         .groupBy(*header, "page")
         .agg(F.array_sort(F.collect_list("entry")).alias("workspaces"))
     )
-    counts = checkpointed(roll_up(outcomes, header))
+    counts = stored(roll_up(outcomes, header))
     complete = match(pages, counts, header, "left", keep={name: F.max(name) for name in COUNTS})
     document = F.to_json(F.struct(*header, *COUNTS, "workspaces"))
     return complete.select(*header, "page", document.alias("document"))

@@ -15,7 +15,7 @@ from lakekit.operators.extract import field_ids, notebook_ids
 from lakekit.operators.matching import match
 from lakekit.operators.reconcile import discover_units
 from lakekit.operators.rollup import findings_per_unit, gate
-from lakekit.session import checkpointed
+from lakekit.session import stored
 from lakekit.sources.corpus import config_files, read_corpus
 
 FINDING_COLUMNS = ["unit", "file", "item_type", "field_name", "id", "context"]
@@ -41,8 +41,8 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
 
 def report(findings: DataFrame, units: DataFrame) -> Audit:
     """The three views of an audit. Findings are stored once in the shared folder and read three times."""
-    stored = checkpointed(findings)
-    return Audit(sorted_findings(stored), findings_per_unit(units, stored).orderBy("unit"), gate(stored))
+    found = stored(findings, "findings")
+    return Audit(sorted_findings(found), findings_per_unit(units, found).orderBy("unit"), gate(found))
 
 
 def corpus_occurrences(spark: SparkSession, root: str) -> DataFrame:

@@ -53,7 +53,12 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lakekit/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Write rows to the shared folder once and read them back from there.
+
+    This cuts the lineage, so whatever uses the rows several times, or loses an executor, does not
+    compute them again. The size of the written files also tells Spark what may be broadcast.
+    """
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

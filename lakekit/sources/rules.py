@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lakekit.functions.text import strip_space
 from lakekit.operators.matching import match
-from lakekit.session import checkpointed
+from lakekit.session import stored
 
 
 def list_of(df: DataFrame, column: str) -> Column:
@@ -39,8 +39,10 @@ def normalise_rules(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Clean rule rows: first visit of a file only, stripped values, empty ones dropped, lists and flags typed.
 
     A missing find_value becomes the text "None", as it does for whoever reads rules as text;
-    ``strict`` drops it instead. Other columns, such as a replacement, are passed through.
+    ``strict`` drops it instead. Other columns, such as a replacement, are passed through. The rows
+    are stored first: rules are few, are used several times, and may come from a costly query.
     """
+    rows = stored(rows, "rules")
     cleaned = ["find_value", "is_regex", "item_type", "file_path"]
     rest = [c for c in rows.columns if c not in cleaned]
     find_value = F.col("find_value") if strict else F.coalesce("find_value", F.lit("None"))
@@ -73,7 +75,7 @@ def flatten_rule_files(files: DataFrame, root: str) -> DataFrame:
             F.col("parent_file").alias("source_file"), F.concat("place", F.array("branch")).alias("place")
         )
         best = places.union(reached.join(files, "source_file", "left_semi")).groupBy("source_file")
-        better = checkpointed(best.agg(F.min("place").alias("place")))
+        better = stored(best.agg(F.min("place").alias("place")))
         known = places.withColumnRenamed("place", "_old")
         changed = better.join(known, "source_file", "left").filter(~F.col("place").eqNullSafe(F.col("_old"))).drop("_old")
         places = better
