@@ -1,6 +1,6 @@
 from lakekit.sources.corpus import read_corpus
 from lakekit.sources.rules import flatten_rule_files, normalise_rules
-from lakekit.sources.tables import link_external, read_folder, read_path, read_table
+from lakekit.sources.tables import link_external, read_folder, read_path, read_table, spread
 
 __all__ = [
     "flatten_rule_files",
@@ -10,4 +10,5 @@ __all__ = [
     "read_folder",
     "read_path",
     "read_table",
+    "spread",
 ]

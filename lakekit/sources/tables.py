@@ -43,3 +43,12 @@ def link_external(
     else:
         spark.catalog.createTable(name, path=path, source=fmt)
     return spark.table(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table on all cores, for costly work per row such as pattern search over texts.
+
+    Only a table with fewer splits than cores is moved; a large one has splits enough and stays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -18,7 +18,7 @@ from lakekit.operators.rewrite import resolve_replacements, rewrite
 from lakekit.operators.rollup import findings_per_unit, gate, overall
 from lakekit.plans.audit import findings_of, sorted_findings
 from lakekit.functions import strip_space
-from lakekit.sources import normalise_rules, read_path
+from lakekit.sources import normalise_rules, read_path, spread
 from workload.text import DOC_LINES, IDS, MAIL, TOKEN
 
 ROOT = "/corpus/"
@@ -47,7 +47,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("doc-"), "doc_id", F.lit(".json")))
     )
     folder = F.concat("source", F.lit("/"), "lang", F.coalesce(suffix, F.lit(".nb")))
-    return read_path(spark, f"{sf_dir}/documents.parquet").select(
+    return spread(read_path(spark, f"{sf_dir}/documents.parquet")).select(
         "doc_id",
         F.col("source").alias("unit"),
         F.concat(F.lit(ROOT), folder, F.lit("/"), name).alias("path"),

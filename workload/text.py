@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakekit.functions import id_count
 from lakekit.operators.extract import block_lines, block_rows, explode_lines, extract_ids, field_ids, notebook_ids
 from lakekit.session import run_dir
-from lakekit.sources import read_corpus, read_path
+from lakekit.sources import read_corpus, read_path, spread
 
 # Identifier shapes that occur in the text tables.
 TOKEN = "[0-9a-f]{40}"
@@ -22,11 +22,11 @@ PAGE_FIELDS = ["ad", "utf-8", "en", "de"]
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return read_path(spark, f"{sf_dir}/documents.parquet").select(*columns)
+    return spread(read_path(spark, f"{sf_dir}/documents.parquet").select(*columns))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_path(spark, f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    return spread(read_path(spark, f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text")))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def block_state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a tree of JSON files, then scanned as files."""
     root = f"{run_dir(spark, 'corpus')}/units"
-    tree = read_path(spark, f"{sf_dir}/documents.parquet").withColumns(
+    tree = spread(read_path(spark, f"{sf_dir}/documents.parquet")).withColumns(
         {"unit": F.col("source"), "folder": F.concat("lang", F.lit(".Notebook"))}
     )
     tree.write.partitionBy("unit", "folder").option("maxRecordsPerFile", 10_000).json(root)
