@@ -70,7 +70,11 @@ def typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_ids(explode_lines(kept(spark, sf_dir).drop("name", "path")), IDS)
+    return occurrences_in(kept(spark, sf_dir))
+
+
+def occurrences_in(files: DataFrame) -> DataFrame:
+    found = extract_ids(explode_lines(files.drop("name", "path")), IDS)
     kind = F.when(F.rlike("id", F.lit("@")), "mail").when(F.rlike("id", F.lit(f"^{TOKEN}$")), "token").otherwise("number")
     return found.select(
         "doc_id",
@@ -170,7 +174,8 @@ def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_one_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(uncovered(only_unit(occurrences(spark, sf_dir), "src3"), pattern_rules(spark)))
+    files = only_unit(kept(spark, sf_dir), "src3")
+    return _plain(uncovered(occurrences_in(files), pattern_rules(spark)))
 
 
 def glob_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
