@@ -45,11 +45,17 @@ def report(findings: DataFrame, units: DataFrame) -> Audit:
     return Audit(sorted_findings(found), findings_per_unit(units, found).orderBy("unit"), gate(found))
 
 
-def corpus_occurrences(spark: SparkSession, root: str) -> DataFrame:
-    """Occurrences in all notebooks and JSON files below a root; each file is read once."""
-    notebooks = notebook_ids(read_corpus(spark, root, NOTEBOOK_FILE))
-    fields = field_ids(read_corpus(spark, root, "*.json"))
-    return notebooks.unionByName(fields)
+def corpus_occurrences(spark: SparkSession, root: str, units: DataFrame, unit: str | None = None) -> DataFrame:
+    """Occurrences in the notebooks and JSON files of the given units.
+
+    Notebooks and JSON files are listed apart, so each file is read once, and files of other units
+    are left out before anything is searched.
+    """
+
+    def files(names: str) -> DataFrame:
+        return match(read_corpus(spark, root, names, unit), units, ["unit"], "left_semi")
+
+    return notebook_ids(files(NOTEBOOK_FILE)).unionByName(field_ids(files("*.json")))
 
 
 def audit_corpus(spark: SparkSession, root: str, rules: DataFrame, unit: str | None = None) -> Audit:
@@ -58,8 +64,8 @@ def audit_corpus(spark: SparkSession, root: str, rules: DataFrame, unit: str | N
     ``rules`` has a ``unit`` column: a rule covers only what lies in its own unit.
     """
     owners = config_files(spark, root)
-    units = discover_units(owners, owners, required=False)
+    units = stored(discover_units(owners, owners, required=False), "units")
     if unit is not None:
         units = only_unit(units, unit)
-    occurrences = match(corpus_occurrences(spark, root), units, ["unit"], "left_semi")
+    occurrences = corpus_occurrences(spark, root, units, unit)
     return report(findings_of(occurrences, rules, by=["unit"]), units)

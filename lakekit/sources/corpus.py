@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _plain_root(root: str) -> str:
     return "/" + rest[2:].partition("/")[2] if rest.startswith("//") else rest
 
 
+def _as_glob(name: str) -> str:
+    """A folder name for the reader, which takes brackets and the like for wildcards."""
+    return re.sub(r"([\[\]{}*?,\\])", r"\\\1", name)
+
+
 def _files(spark: SparkSession, root: str, names: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
@@ -30,8 +37,8 @@ def _files(spark: SparkSession, root: str, names: str) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB) -> DataFrame:
-    """The deployable text files below a root.
+def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit: str | None = None) -> DataFrame:
+    """The deployable text files below a root, or below one unit of it.
 
     Columns: unit (folder below the root), rel_path (below the unit), file (from the root's own
     name on), name, item_type, text. Files on the skip list, files outside a typed folder, and
@@ -39,8 +46,9 @@ def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB) -> Dat
     """
     base = _plain_root(root).rstrip("/")
     below = relative_to(F.col("path"), base)
+    folder = root if unit is None else f"{root.rstrip('/')}/{_as_glob(unit)}"
     return (
-        _files(spark, root, names)
+        _files(spark, folder, names)
         .withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
         .filter(not_skipped(F.col("name")))
         .withColumn("item_type", item_type(F.col("path")))

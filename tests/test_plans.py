@@ -50,8 +50,8 @@ def tree(tmp_path_factory):
         "First Unit/2_Silver/t/two.Notebook/notebook-content.py": NOTEBOOK,
         "First Unit/1_Bronze/in.CopyJob/copy-content.json": COPY,
         "First Unit/1_Bronze/lake.Lakehouse/shortcuts.metadata.json": f'{{"connectionId": "{SPACE}"}}',
-        "Second Unit/config.yml": "core:",
-        "Second Unit/in.CopyJob/copy-content.json": COPY,
+        "[D] Second, Unit/config.yml": "core:",
+        "[D] Second, Unit/in.CopyJob/copy-content.json": COPY,
         "No Config/in.CopyJob/copy-content.json": COPY,
     }
     for name, content in files.items():
@@ -89,10 +89,10 @@ def test_rules_end_at_their_unit(spark, tree, as_rows):
     rules = rule_table(spark, [("First Unit", r) for r in RULES])
     audit = audit_corpus(spark, tree, rules)
     assert [(r.unit, r.field_name) for r in audit.findings.collect()] == [
-        ("Second Unit", "artifactId"),
-        ("Second Unit", "workspaceId"),
+        ("[D] Second, Unit", "artifactId"),
+        ("[D] Second, Unit", "workspaceId"),
     ]
-    assert as_rows(audit.per_unit) == [("First Unit", 0, True), ("Second Unit", 2, False)]
+    assert as_rows(audit.per_unit) == [("First Unit", 0, True), ("[D] Second, Unit", 2, False)]
     assert as_rows(audit.gate) == [(True, 1)]
 
 
@@ -118,3 +118,10 @@ def test_reconciled_run_is_reported(spark, as_rows):
     assert as_rows(run.action_counts) == [("create", 2), ("keep", 1), ("orphan", 1)]
     assert as_rows(run.summary) == [("dev", 3, 1, 2)]
     assert run.documents.select(F.get_json_object("document", "$.failed_count")).first()[0] == "1"
+
+
+def test_one_unit_whose_name_looks_like_a_wildcard(spark, tree, as_rows):
+    rules = rule_table(spark, [("[D] Second, Unit", (ZERO, None, None, None))])
+    audit = audit_corpus(spark, tree, rules, unit="[D] Second, Unit")
+    assert as_rows(audit.findings.select("field_name")) == [("artifactId",)]
+    assert as_rows(audit.per_unit) == [("[D] Second, Unit", 1, False)]

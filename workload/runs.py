@@ -96,6 +96,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("name"),
         (F.col("event_type") != "error").alias("success"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        "event_id",
     )
 
 
