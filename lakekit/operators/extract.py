@@ -7,7 +7,7 @@ gathered with another. Only lines that carry an identifier leave the row.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,22 +97,23 @@ def block_rows(
     Each chunk is scanned by itself, and the state it starts with comes from a running pass over
     one row per chunk.
     """
+    place = F.col(position)
     flagged = df.withColumn("_turn", F.when(opens, True).when(closes, False)).withColumn(
-        "_chunk", F.floor(F.col(position) / chunk)
+        "_chunk", place - F.pmod(place, F.lit(chunk))
     )
     keys = [*group, "_chunk"]
-    last_turn = F.max_by(F.col("_turn"), F.when(F.col("_turn").isNotNull(), F.col(position)))
+    last_turn = F.max_by(F.col("_turn"), F.when(F.col("_turn").isNotNull(), place))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     entry = (
         flagged.groupBy(*keys)
         .agg(last_turn.alias("_last"))
-        .select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_entry"))
+        .select(*[F.col(k).alias(f"_entry_{k}") for k in keys], F.last("_last", ignorenulls=True).over(before).alias("_entry"))
     )
     so_far = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = flagged.withColumn("_state", F.last("_turn", ignorenulls=True).over(so_far))
-    carried = scanned.join(entry, keys, "left")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_entry_{k}")) for k in keys])
     inside = F.coalesce("_state", "_entry", F.lit(False)).alias("inside")
-    return carried.select(*df.columns, inside)
+    return scanned.join(entry, same, "left").select(*df.columns, inside)
 
 
 def named_ids(

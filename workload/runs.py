@@ -85,13 +85,17 @@ def count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(_table(spark, sf_dir, "events"), "event_type")
 
 
+def _environment():
+    value = F.col("value")
+    return F.when(value < 2, "dev").when(value < 5, "test").otherwise("prod")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as an outcome: errors failed, and some have no display name."""
     value = F.col("value")
-    environment = F.when(value < 2, "dev").when(value < 5, "test").otherwise("prod")
     name = F.when(value < 1, "").when(value < 8, F.concat(F.lit("event "), "event_id"))
     return _table(spark, sf_dir, "events").select(
-        environment.alias("environment"),
+        _environment().alias("environment"),
         F.concat(F.lit("user-"), "user_id").alias("folder"),
         name.alias("name"),
         (F.col("event_type") != "error").alias("success"),
@@ -123,12 +127,12 @@ def outcome_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcome_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result documents of all events, flattened again."""
-    spans = _table(spark, sf_dir, "events").select(
-        F.when(F.col("value") < 2, "dev").when(F.col("value") < 5, "test").otherwise("prod").alias("environment"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"),
-    )
-    duration = {"duration": (F.max("second") - F.min("second")).cast("double")}
-    timed = match(outcomes(spark, sf_dir), spans, ["environment"], "left", keep=duration)
+    all_outcomes = outcomes(spark, sf_dir)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = (F.max(second) - F.min(second)).cast("double")
+    times = _table(spark, sf_dir, "events").withColumn("environment", _environment())
+    durations = times.groupBy("environment").agg(span.alias("duration"))
+    timed = match(all_outcomes, durations, ["environment"], "left", keep={"duration": F.max("duration")})
     documents = result_document(timed, ["environment", "duration"])
     return flatten_document(documents, {"environment": "string", "duration": "double"})
 
