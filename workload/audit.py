@@ -6,10 +6,11 @@ one language has no proper type, and short documents carry names of the skip lis
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekit.functions import glob_to_regex, item_type, matches_any_glob, not_skipped, relative_to
+from lakekit.functions import glob_to_regex, item_type, matches_any_glob, not_skipped, relative_to, strip_space
 from lakekit.operators.checks import only_unit
 from lakekit.operators.coverage import uncovered
 from lakekit.operators.extract import explode_lines, extract_ids
@@ -17,12 +18,20 @@ from lakekit.operators.matching import match
 from lakekit.operators.rewrite import resolve_replacements, rewrite
 from lakekit.operators.rollup import findings_per_unit, gate, overall
 from lakekit.plans.audit import findings_of, sorted_findings
-from lakekit.functions import strip_space
 from lakekit.sources import normalise_rules, read_path, spread
 from workload.text import DOC_LINES, IDS, MAIL, TOKEN
 
 ROOT = "/corpus/"
-RULE_COLUMNS = "source_file string, visit_no int, rule_no int, find_value string, is_regex string, item_type string, file_path string"
+RULE_FIELDS = [
+    pa.field("source_file", pa.string()),
+    pa.field("visit_no", pa.int32()),
+    pa.field("rule_no", pa.int32()),
+    pa.field("find_value", pa.string()),
+    pa.field("is_regex", pa.string()),
+    pa.field("item_type", pa.string()),
+    pa.field("file_path", pa.string()),
+]
+REPLACEMENT = [pa.field("replacement", pa.string())]
 
 # Rules as a user writes them: origin, pattern or literal, flag, item type, path.
 PATTERN_RULES = [
@@ -122,8 +131,15 @@ def unit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inline_rules(spark: SparkSession, rows: list[tuple], more: list[pa.Field] | None = None) -> DataFrame:
+    """Rules written in a program, as a local table that needs no Python worker to read."""
+    schema = pa.schema([*RULE_FIELDS, *(more or [])])
+    named = [dict(zip(schema.names, row)) for row in rows]
+    return normalise_rules(spark.createDataFrame(pa.Table.from_pylist(named, schema=schema)))
+
+
 def pattern_rules(spark: SparkSession) -> DataFrame:
-    return normalise_rules(spark.createDataFrame(PATTERN_RULES, RULE_COLUMNS))
+    return inline_rules(spark, PATTERN_RULES)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -238,11 +254,6 @@ def _rewritten(spark: SparkSession, sf_dir: str, rules: DataFrame) -> DataFrame:
     return done.select("doc_id", "text")
 
 
-def _replacing(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    rows = spark.createDataFrame(rules, f"{RULE_COLUMNS}, replacement string")
-    return normalise_rules(rows)
-
-
 def rewrite_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second rule sees what the first one wrote; the third is limited by type, the fourth by path."""
     rules = [
@@ -251,7 +262,7 @@ def rewrite_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("r", 1, 3, "MIT License", None, "Notebook", None, "M$1T License"),
         ("r", 1, 4, "Version 2.0", None, None, "**/src1*/**", "Version 3"),
     ]
-    return _rewritten(spark, sf_dir, _replacing(spark, rules))
+    return _rewritten(spark, sf_dir, inline_rules(spark, rules, REPLACEMENT))
 
 
 def rewrite_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +270,7 @@ def rewrite_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("r", 1, 1, f'token = "({TOKEN})"', "true", None, None, "$workspace"),
         ("r", 1, 2, "[0-9]{16}", "true", '["Notebook", "Report"]', None, "<number>"),
     ]
-    return _rewritten(spark, sf_dir, _replacing(spark, rules))
+    return _rewritten(spark, sf_dir, inline_rules(spark, rules, REPLACEMENT))
 
 
 def rewrite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,11 +290,11 @@ def rewrite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("value"),
     )
     rows = [
-        ("r", 1, 1, f'token = "({TOKEN})"', "true", None, None, {"_ALL_": "$items.Nation.3.$label"}),
-        ("r", 1, 2, "MIT License", "false", None, None, {"test": "$items.Supplier.5.id", "_ALL_": "other"}),
-        ("r", 1, 3, "Apache License", "false", None, None, {"prod": "P", "_ALL_": "plain text"}),
+        ("r", 1, 1, f'token = "({TOKEN})"', "true", None, None, [("_ALL_", "$items.Nation.3.$label")]),
+        ("r", 1, 2, "MIT License", "false", None, None, [("test", "$items.Supplier.5.id"), ("_ALL_", "other")]),
+        ("r", 1, 3, "Apache License", "false", None, None, [("prod", "P"), ("_ALL_", "plain text")]),
     ]
-    rules = normalise_rules(spark.createDataFrame(rows, f"{RULE_COLUMNS}, replace_value map<string, string>"))
+    rules = inline_rules(spark, rows, [pa.field("replace_value", pa.map_(pa.string(), pa.string()))])
     resolved = resolve_replacements(rules, nations.unionByName(suppliers), "test")
     return _rewritten(spark, sf_dir, resolved)
 

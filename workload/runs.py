@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRIORITY_MAP, "priority string, environment string")
+    priorities, environments = zip(*PRIORITY_MAP)
+    return spark.createDataFrame(pa.table({"priority": priorities, "environment": environments}))
 
 
 def environment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
