@@ -17,6 +17,7 @@ from lakekit.operators.reconcile import discover_units
 from lakekit.operators.rollup import findings_per_unit, gate
 from lakekit.session import stored
 from lakekit.sources.corpus import config_files, read_corpus
+from lakekit.sources.rule_files import read_unit_rules
 
 FINDING_COLUMNS = ["unit", "file", "item_type", "field_name", "id", "context"]
 
@@ -58,14 +59,19 @@ def corpus_occurrences(spark: SparkSession, root: str, units: DataFrame, unit: s
     return notebook_ids(files(NOTEBOOK_FILE)).unionByName(field_ids(files("*.json")))
 
 
-def audit_corpus(spark: SparkSession, root: str, rules: DataFrame, unit: str | None = None) -> Audit:
+def audit_corpus(
+    spark: SparkSession, root: str, rules: DataFrame | None = None, unit: str | None = None
+) -> Audit:
     """Audit the units below a root that own a configuration, or one of them.
 
-    ``rules`` has a ``unit`` column: a rule covers only what lies in its own unit.
+    Rules come from the units' own rule files unless given. Given ones have a ``unit`` column: a
+    rule covers only what lies in its own unit.
     """
     owners = config_files(spark, root)
     units = stored(discover_units(owners, owners, required=False), "units")
     if unit is not None:
         units = only_unit(units, unit)
+    if rules is None:
+        rules = read_unit_rules(spark, root, units)
     occurrences = corpus_occurrences(spark, root, units, unit)
     return report(findings_of(occurrences, rules, by=["unit"]), units)

@@ -66,6 +66,14 @@ def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit:
     )
 
 
+def read_tree(spark: SparkSession, root: str, names: str) -> DataFrame:
+    """Any valid UTF-8 files below a root: path (relative to it) and text."""
+    return _files(spark, root, names).select(
+        relative_to(F.col("path"), _plain_root(root)).alias("path"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
+    ).filter(F.col("text").isNotNull())
+
+
 def config_files(spark: SparkSession, root: str, name: str = UNIT_CONFIG_FILE) -> DataFrame:
     """The units whose own folder holds a file of the given name. Only the listing is read."""
     below = relative_to(F.col("path"), _plain_root(root))

@@ -30,9 +30,10 @@ def list_of(df: DataFrame, column: str) -> Column:
 
 
 def first_visits(rows: DataFrame) -> DataFrame:
-    """The rows of each source file's first visit: a file reached again adds nothing."""
-    first = match(rows, rows, ["source_file"], "left", keep={"_first": F.min("visit_no")})
-    return first.filter(F.col("visit_no").eqNullSafe(F.col("_first")) | F.col("source_file").isNull()).drop("_first")
+    """The rows of each source file's first visit: a file reached again, by the same unit, adds nothing."""
+    file_key = [c for c in ["unit", "source_file"] if c in rows.columns]
+    first = match(rows, rows, file_key, "left", keep={"_first": F.min("visit_no")})
+    return first.filter(F.col("_first").isNull() | F.col("visit_no").eqNullSafe(F.col("_first"))).drop("_first")
 
 
 def normalise_rules(rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -59,27 +60,31 @@ def normalise_rules(rows: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def flatten_rule_files(files: DataFrame, root: str) -> DataFrame:
-    """Rule rows of a rule file and of all files it extends, parents first.
+def flatten_rule_files(files: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rule rows of each unit's rule file and of all files it extends, parents first.
 
-    ``files`` has source_file, extend (array of source_file) and find_replace (array of rule
-    structs). A file is placed where the walk first enters it, so its place is the smallest
-    sequence of branch numbers that leads to it. Places only ever get smaller, so the search ends
-    for cycles too. ``visit_no`` orders the files, ``rule_no`` the rules in one.
+    ``files`` has source_file, extend (the source_file of each parent) and find_replace (an array
+    of rule structs); ``starts`` has unit and the source_file the unit begins with. A file is
+    placed where the walk first enters it, so its place is the smallest sequence of branch numbers
+    that leads to it. Places only ever get smaller, so the search ends for cycles too.
+    ``visit_no`` orders the files of a unit, ``rule_no`` the rules in one.
     """
+    key = ["unit", "source_file"]
+    files = stored(files, "rule-files")
+    known = files.select("source_file")
     edges = files.select("source_file", F.posexplode(list_of(files, "extend")).alias("branch", "parent_file"))
-    places = files.filter(F.col("source_file") == root).select("source_file", F.array().cast("array<int>").alias("place"))
+    places = starts.join(known, "source_file", "left_semi").select(*key, F.array().cast("array<int>").alias("place"))
     changed = places
     while not changed.isEmpty():
         reached = changed.join(edges, "source_file").select(
-            F.col("parent_file").alias("source_file"), F.concat("place", F.array("branch")).alias("place")
+            "unit", F.col("parent_file").alias("source_file"), F.concat("place", F.array("branch")).alias("place")
         )
-        best = places.union(reached.join(files, "source_file", "left_semi")).groupBy("source_file")
-        better = stored(best.agg(F.min("place").alias("place")))
-        known = places.withColumnRenamed("place", "_old")
-        changed = better.join(known, "source_file", "left").filter(~F.col("place").eqNullSafe(F.col("_old"))).drop("_old")
+        candidates = places.unionByName(reached.join(known, "source_file", "left_semi"))
+        better = stored(candidates.groupBy(*key).agg(F.min("place").alias("place")), "places")
+        old = places.withColumnRenamed("place", "_old")
+        changed = better.join(old, key, "left").filter(~F.col("place").eqNullSafe(F.col("_old"))).select(*key, "place")
         places = better
     # A file's rules come after those of every file below it: its place is closed by a larger branch.
     order = F.concat("place", F.array(F.lit(2**31 - 1)))
-    rules = files.join(places, "source_file").select("source_file", order.alias("visit_no"), F.posexplode("find_replace"))
-    return rules.select("visit_no", F.col("pos").alias("rule_no"), "source_file", "col.*")
+    rules = files.join(places, "source_file").select(*key, order.alias("visit_no"), F.posexplode("find_replace"))
+    return rules.select("unit", "visit_no", F.col("pos").alias("rule_no"), "source_file", "col.*")

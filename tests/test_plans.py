@@ -1,5 +1,7 @@
 """Whole pipelines on a small authored tree."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,11 +43,18 @@ RULES = [
 ]
 
 
+def rule_entry(rule):
+    keys = ["find_value", "is_regex", "item_type", "file_path"]
+    return {k: v for k, v in zip(keys, rule) if v is not None}
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("repo") / "units"
     files = {
         "First Unit/config.yml": "core:",
+        "First Unit/parameter.yml": "extend:\n- ./templates/all.yml\n",
+        "First Unit/templates/all.yml": json.dumps({"find_replace": [rule_entry(r) for r in RULES]}),
         "First Unit/2_Silver/t/one.Notebook/notebook-content.py": NOTEBOOK,
         "First Unit/2_Silver/t/two.Notebook/notebook-content.py": NOTEBOOK,
         "First Unit/1_Bronze/in.CopyJob/copy-content.json": COPY,
@@ -125,3 +134,9 @@ def test_one_unit_whose_name_looks_like_a_wildcard(spark, tree, as_rows):
     audit = audit_corpus(spark, tree, rules, unit="[D] Second, Unit")
     assert as_rows(audit.findings.select("field_name")) == [("artifactId",)]
     assert as_rows(audit.per_unit) == [("[D] Second, Unit", 1, False)]
+
+
+def test_rules_of_the_units_own_files(spark, tree, as_rows):
+    pytest.importorskip("yaml")
+    audit = audit_corpus(spark, tree)
+    assert as_rows(audit.per_unit) == [("First Unit", 0, True), ("[D] Second, Unit", 2, False)]

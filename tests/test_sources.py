@@ -5,7 +5,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lakekit.functions import glob_to_regex, item_type, matches_any_glob, relative_to
-from lakekit.sources import flatten_rule_files, link_external, normalise_rules, read_corpus, read_folder, read_path, read_table
+from lakekit.sources import (
+    flatten_rule_files,
+    link_external,
+    normalise_rules,
+    read_corpus,
+    read_folder,
+    read_path,
+    read_rule_files,
+    read_table,
+    read_unit_rules,
+)
 from lakekit.sources.corpus import config_files
 
 G = "11111111-aaaa-4bbb-8ccc-000000000001"
@@ -155,6 +165,41 @@ def rule_files(spark, graph):
     ],
 )
 def test_extended_files_come_first_and_once(spark, graph, order):
-    flat = flatten_rule_files(rule_files(spark, graph), "root")
+    starts = spark.createDataFrame([("u", "root"), ("none", "missing")], "unit string, source_file string")
+    flat = flatten_rule_files(rule_files(spark, graph), starts)
     got = [r.find_value for r in normalise_rules(flat).orderBy("visit_no", "rule_no").collect()]
     assert got == [f"{name}{i}" for name in order.split() for i in (1, 2)]
+
+
+def test_units_share_parents(spark):
+    files = rule_files(spark, {"one": ["shared"], "two": ["own", "shared"], "own": [], "shared": []})
+    starts = spark.createDataFrame([("1", "one"), ("2", "two")], "unit string, source_file string")
+    rules = normalise_rules(flatten_rule_files(files, starts)).orderBy("unit", "visit_no", "rule_no").collect()
+    assert [f"{r.unit}:{r.source_file}" for r in rules[::2]] == ["1:shared", "1:one", "2:own", "2:shared", "2:two"]
+
+
+def test_rule_files_are_parsed(spark, tmp_path):
+    pytest.importorskip("yaml")
+    files = {
+        "u/parameter.yml": "extend: ./t/a.yml\nfind_replace:\n- find_value: ' x '\n- not a rule\n- item_type: Notebook\n",
+        "u/t/a.yml": (
+            "extend: ['../../shared.yaml', ../parameter.yml]\nfind_replace:\n"
+            "- find_value:\n  is_regex: true\n  item_type: [A, B]\n  file_path: '**/x'\n  replace_value: {_ALL_: $workspace.id}\n"
+        ),
+        "shared.yaml": '{"find_replace": [{"find_value": 5, "is_regex": "yes", "item_type": 3}]}',
+        "u/broken.yml": "a: [",
+        "u/list.yml": "- a",
+        "v/parameter.yml": "find_replace:",
+    }
+    for name, content in files.items():
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(content)
+    assert {r.source_file for r in read_rule_files(spark, str(tmp_path)).collect()} == set(files) - {"u/broken.yml", "u/list.yml"}
+    units = spark.createDataFrame([("u",), ("v",), ("w",)], "unit string")
+    got = read_unit_rules(spark, str(tmp_path), units).orderBy("visit_no", "rule_no").collect()
+    assert [(r.unit, r.find_value, r.is_regex, r.item_types, r.file_paths, r.replace_value) for r in got] == [
+        ("u", "5", False, [], [], {}),
+        ("u", "None", True, ["A", "B"], ["**/x"], {"_ALL_": "$workspace.id"}),
+        ("u", "x", False, [], [], {}),
+    ]
