@@ -12,12 +12,21 @@ def not_skipped(name: Column) -> Column:
     return ~name.isin(SKIP_NAMES) & ~F.endswith(name, F.lit(SKIP_SUFFIX))
 
 
+# The first path part whose last suffix is a capitalised word of three or more letters: name, suffix.
+ITEM_PART = r"(?:^|/)([^/]*)\.(\p{Lu}\p{L}{2,})(?=/|$)"
+
+
 def item_type(path: Column) -> Column:
-    """The suffix of the first path part that ends in a capitalised word of three or more letters."""
-    found = F.regexp_extract(path, r"(?:^|/)[^/]*\.(\p{Lu}\p{L}{2,})(?=/|$)", 1)
+    """The type of the item a path belongs to: the suffix of the folder that says what it is."""
+    found = F.regexp_extract(path, ITEM_PART, 2)
     return F.when(found == "", F.lit(UNKNOWN_TYPE)).otherwise(found)
 
 
+def item_name(path: Column) -> Column:
+    """The name in front of that suffix."""
+    return F.regexp_extract(path, ITEM_PART, 1)
+
+
 def relative_to(path: Column, root: str) -> Column:
     """The path below a root, with forward slashes; a path elsewhere stays whole."""
     slashed = F.translate(path, "\\", "/")

@@ -54,7 +54,8 @@ def rewrite(df: DataFrame, rules: DataFrame, order: list[str], text: str = "text
     """Apply every rule in scope to each text, in rule order: a rule sees what the rules before it left.
 
     A literal rule replaces each copy of its value. A pattern rule replaces group 1 inside each
-    match, or the whole match without a group. The rows need item_type and rel_path.
+    match, or the whole match without a group. The rows need item_type and rel_path, and item_name
+    if a rule is limited to items by name.
 
     The rules reach the rows as one array from a scalar subquery, folded over the text, so the
     texts are neither joined nor shuffled. More rules than the broadcast check allows are applied
@@ -78,9 +79,7 @@ def rewrite(df: DataFrame, rules: DataFrame, order: list[str], text: str = "text
 
 def _prepared(rules: DataFrame, order: list[str]) -> DataFrame:
     """Rules in the form the fold reads; pattern rules that do not compile are left out."""
-    return compile_rules(rules, keep=[*order, "replacement"]).select(
-        *order, "is_regex", "find_value", "item_types", "path_regexes", "pattern", "group_no", "replacement"
-    )
+    return compile_rules(rules, keep=[*order, "replacement", "item_names"])
 
 
 def _as_array(rules: DataFrame, order: list[str]) -> Column:
@@ -90,16 +89,20 @@ def _as_array(rules: DataFrame, order: list[str]) -> Column:
 
 def _apply(df: DataFrame, text: str, rules: Column) -> DataFrame:
     item_type, rel_path = F.col("item_type"), F.col("rel_path")
+    item_name = F.col("item_name") if "item_name" in df.columns else F.lit(None).cast("string")
+
+    def one_of(values: Column, value: Column) -> Column:
+        return (F.size(values) == 0) | F.array_contains(values, value)
 
     def step(done: Column, rule: Column) -> Column:
-        of_type = (F.size(rule["item_types"]) == 0) | F.array_contains(rule["item_types"], item_type)
+        of_item = one_of(rule["item_types"], item_type) & one_of(rule["item_names"], item_name)
         on_path = (F.size(rule["path_regexes"]) == 0) | F.exists(rule["path_regexes"], lambda p: F.rlike(rel_path, p))
-        # The test for the text itself comes last for patterns, first for literals: cheap before costly.
+        # The search of the text comes last for patterns, first for literals: cheap before costly.
         literal = F.when(
-            F.contains(done, rule["find_value"]) & of_type & on_path,
+            F.contains(done, rule["find_value"]) & of_item & on_path,
             F.replace(done, rule["find_value"], rule["replacement"]),
         ).otherwise(done)
-        by_pattern = F.when(of_type & on_path & F.rlike(done, rule["pattern"]), _replace_group(done, rule)).otherwise(done)
+        by_pattern = F.when(of_item & on_path & F.rlike(done, rule["pattern"]), _replace_group(done, rule)).otherwise(done)
         return F.when(rule["is_regex"], by_pattern).otherwise(literal)
 
     # A subquery may not stand inside the fold itself, so it is a column of its own first.

@@ -54,3 +54,10 @@ def create_schema(spark: SparkSession, schema: str, root: str, layer: str) -> No
     """A layer's schema; its managed tables live below the layer's own folder."""
     location = table_path(root, layer, "", schema).rstrip("/")
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}` LOCATION '{location}'")
+
+
+def run_chain(spark: SparkSession, folder: str, root: str, name: str, wildcard: str = "*.parquet") -> DataFrame:
+    """Land a folder in bronze and publish it to silver under ``silver.<name>``; returns the silver table."""
+    landed = land(spark, folder, file_path(root, "bronze", f"{name}.parquet"), wildcard)
+    create_schema(spark, "silver", root, "silver")
+    return copy_layer(spark, landed, f"silver.{name}", table_path(root, "silver", name))

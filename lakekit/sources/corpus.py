@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekit.constants import CORPUS_GLOB, UNIT_CONFIG_FILE, UNKNOWN_TYPE
-from lakekit.functions.paths import item_type, not_skipped, relative_to
+from lakekit.functions.paths import item_name, item_type, not_skipped, relative_to
 
 
 def _plain_path(path: Column) -> Column:
@@ -41,7 +41,7 @@ def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit:
     """The deployable text files below a root, or below one unit of it.
 
     Columns: unit (folder below the root), rel_path (below the unit), file (from the root's own
-    name on), name, item_type, text. Files on the skip list, files outside a typed folder, and
+    name on), name, item_type, item_name, text. Files on the skip list, files outside a typed folder, and
     files that are not valid UTF-8 give no row.
     """
     base = _plain_root(root).rstrip("/")
@@ -61,6 +61,7 @@ def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit:
             F.concat(F.lit(base.rsplit("/", 1)[-1] + "/"), below).alias("file"),
             "name",
             "item_type",
+            item_name(F.col("path")).alias("item_name"),
             "text",
         )
     )

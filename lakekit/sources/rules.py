@@ -36,25 +36,27 @@ def first_visits(rows: DataFrame) -> DataFrame:
     return first.filter(F.col("_first").isNull() | F.col("visit_no").eqNullSafe(F.col("_first"))).drop("_first")
 
 
-def normalise_rules(rows: DataFrame, strict: bool = False) -> DataFrame:
+def normalise_rules(rows: DataFrame) -> DataFrame:
     """Clean rule rows: first visit of a file only, stripped values, empty ones dropped, lists and flags typed.
 
-    A missing find_value becomes the text "None", as it does for whoever reads rules as text;
-    ``strict`` drops it instead. Other columns, such as a replacement, are passed through. The rows
-    are stored first: rules are few, are used several times, and may come from a costly query.
+    A missing find_value becomes the text "None", as it does for whoever reads rules as text. Other
+    columns, such as a replacement, are passed through. The rows are stored first: rules are few,
+    are used several times, and may come from a costly query.
     """
     rows = stored(rows, "rules")
-    cleaned = ["find_value", "is_regex", "item_type", "file_path"]
+    if "item_name" not in rows.columns:
+        rows = rows.withColumn("item_name", F.lit(None).cast("string"))
+    cleaned = ["find_value", "is_regex", "item_type", "file_path", "item_name"]
     rest = [c for c in rows.columns if c not in cleaned]
-    find_value = F.col("find_value") if strict else F.coalesce("find_value", F.lit("None"))
     return (
         first_visits(rows)
         .select(
             *rest,
-            strip_space(find_value).alias("find_value"),
+            strip_space(F.coalesce("find_value", F.lit("None"))).alias("find_value"),
             F.coalesce(F.lower(F.col("is_regex").cast("string")) == "true", F.lit(False)).alias("is_regex"),
             list_of(rows, "item_type").alias("item_types"),
             list_of(rows, "file_path").alias("file_paths"),
+            list_of(rows, "item_name").alias("item_names"),
         )
         .filter(F.col("find_value") != "")
     )

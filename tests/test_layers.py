@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakekit.functions import typed_copy
-from lakekit.plans.layers import copy_layer, create_schema, file_path, land, source_bytes, table_path
+from lakekit.plans.layers import copy_layer, create_schema, file_path, land, run_chain, source_bytes, table_path
 from lakekit.session import run_dir, stored
 from lakekit.sinks import append_copy, merge_files, publish
 from lakekit.sources import read_path, read_table, spread
@@ -74,6 +74,13 @@ def test_a_layer_holds_its_managed_tables(spark, tmp_path):
     assert parts(table_path(str(tmp_path), "gold", "t", "gold_layer"))
 
 
+def test_chain_from_folder_to_silver(spark, tmp_path):
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "source"))
+    silver = run_chain(spark, str(tmp_path / "source"), str(tmp_path / "lake"), "nine")
+    assert silver.count() == read_table(spark, "silver.nine").count() == 9
+    assert parts(table_path(str(tmp_path / "lake"), "silver", "nine"))
+
+
 def test_copies_are_appended(spark, tmp_path, as_rows):
     items = spark.createDataFrame([("n1", "Notebook"), ("l1", "Lakehouse"), ("r1", "Report")], "name string, type string")
     target = str(tmp_path / "space")

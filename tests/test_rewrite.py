@@ -75,6 +75,17 @@ def test_references_are_resolved_per_environment(spark):
     assert [r.replacement for r in got] == ["W-prod", "W-prod", "L-prod", "S-prod", "own", None, None]
 
 
+def test_rules_limited_by_item_name(spark):
+    rows = [("f", 1, 1, "x", None, None, None, "y", "one"), ("f", 1, 2, "[z]", "true", None, None, "w", '["two", "three"]')]
+    rules = normalise_rules(spark.createDataFrame(rows, f"{RULES}, replacement string, item_name string"))
+    df = spark.createDataFrame(
+        [("xz", "Notebook", "p", name) for name in ("one", "two", "four", None)],
+        "text string, item_type string, rel_path string, item_name string",
+    )
+    assert {r.item_name: r.text for r in rewrite(df, rules, ORDER).collect()} == {"one": "yz", "two": "xw", "four": "xz", None: "xz"}
+    assert {r.text for r in rewrite(df.drop("item_name"), rules, ORDER).collect()} == {"xz"}
+
+
 def test_unresolved_replacement_stops(spark):
     with pytest.raises(ValueError, match="resolved"):
         rewritten(spark, "x", [rule("x", None)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekit.functions import id_count
+from lakekit.functions import id_count, marker_lines, split_lines
 from lakekit.operators.extract import block_lines, block_rows, explode_lines, extract_ids, field_ids, notebook_ids
 from lakekit.session import run_dir
 from lakekit.sources import read_corpus, read_path, spread
@@ -33,6 +33,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_lines(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the lines with a marker."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return docs.select("doc_id", F.explode(marker_lines(split_lines(F.col("text")), " = ")).alias("line"))
+
+
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_ids(lines(spark, sf_dir), IDS).select("doc_id", "line_no", "id")
 
@@ -97,10 +103,11 @@ def block_state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a tree of JSON files, then scanned as files."""
     root = f"{run_dir(spark, 'corpus')}/units"
-    tree = spread(read_path(spark, f"{sf_dir}/documents.parquet")).withColumns(
+    tree = read_path(spark, f"{sf_dir}/documents.parquet").withColumns(
         {"unit": F.col("source"), "folder": F.concat("lang", F.lit(".Notebook"))}
     )
-    tree.write.partitionBy("unit", "folder").option("maxRecordsPerFile", 10_000).json(root)
+    # Rebalanced by folder: few files per folder, and a large folder is split over several tasks.
+    tree.hint("rebalance", F.col("unit"), F.col("folder")).write.partitionBy("unit", "folder").option("maxRecordsPerFile", 10_000).json(root)
     found = field_ids(read_corpus(spark, root), fields=["text", "source", "absent"], id_pattern=NUMBERS)
     return found.groupBy(F.regexp_replace("unit", "^unit=", "").alias("unit"), "item_type", "field_name", "id").agg(
         F.count("*").alias("n")
@@ -109,6 +116,7 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "lines": lines,
+    "marked_lines": marked_lines,
     "identifiers": identifiers,
     "identifier_counts": identifier_counts,
     "named_fields": named_fields,
@@ -147,6 +155,7 @@ def state_sql(table: str, key: str, opens: str, closes: str) -> str:
 
 ORACLES = {
     "lines": f"WITH {DOC_LINES} SELECT doc_id, line_no, line FROM doc_lines",
+    "marked_lines": f"WITH {DOC_LINES} SELECT doc_id, line FROM doc_lines WHERE contains(line, ' = ')",
     "identifiers": f"""
         WITH {DOC_LINES}
         SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{IDS}')) AS id FROM doc_lines
