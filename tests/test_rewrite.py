@@ -46,7 +46,15 @@ CASES = {
 
 @pytest.mark.parametrize("per_pass", [1000, 1])
 def test_cases(spark, per_pass):
-    got = {name: rewritten(spark, text, rules, rules_per_pass=per_pass) for name, (text, rules, _) in CASES.items()}
+    """All cases at once: each text is of a type of its own, which limits the rules of its case to it."""
+    rules, texts = [], []
+    for no, (name, (text, case_rules, _)) in enumerate(CASES.items()):
+        own = f"Type{no}"
+        texts.append((name, text, own, "a/b.json"))
+        rules += [("f", 1, len(rules) + i, r[0], r[1], r[2] or own, *r[3:]) for i, r in enumerate(case_rules)]
+    table = normalise_rules(spark.createDataFrame(rules, f"{RULES}, replacement string"))
+    df = spark.createDataFrame(texts, "name string, text string, item_type string, rel_path string")
+    got = {r.name: r.text for r in rewrite(df, table, ORDER, rules_per_pass=per_pass).collect()}
     assert got == {name: want for name, (_, _, want) in CASES.items()}
 
 
