@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakekit.functions.paths import glob_to_regex
-from lakekit.operators.matching import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
+from lakekit.operators.matching import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, row_salt
 from lakekit.session import stored
 
 LITERAL_SALTS = 16
@@ -74,8 +74,7 @@ def uncovered_by_literals(
     scope = agree & in_scope(F.col("item_type"), F.col("rel_path"))
     if fits_broadcast(literals):
         return occurrences.join(F.broadcast(literals), (F.col("id") == F.col("find_value")) & scope, "left_anti")
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in occurrences.columns])
-    spread = occurrences.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
+    spread = occurrences.withColumn("_salt", row_salt(occurrences, F.lit(salts)))
     repeated = literals.distinct().withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     same = (F.col("id") == F.col("find_value")) & (F.col("_salt") == F.col("_rule_salt"))
     return spread.join(repeated, same & scope, "left_anti").drop("_salt")

@@ -26,6 +26,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return len(sizes) <= rows and sum(r.n or 0 for r in sizes) <= size
 
 
+def row_salt(df: DataFrame, fan_out: Column) -> Column:
+    """A number below ``fan_out`` for each row, the same whenever a task is repeated.
+
+    It hashes the whole row and the number of its partition: rows of a frequent key differ in
+    their other columns, and copies of one row differ in where they come from.
+    """
+    row = [F.col(f"`{c}`") for c in df.columns]
+    return F.pmod(F.xxhash64(*row, F.spark_partition_id()), fan_out).cast("int")
+
+
 def match(
     left: DataFrame,
     right: DataFrame,
@@ -63,8 +73,7 @@ def match(
         .select(*on, F.lit(fan_out).alias(_FAN))
     )
     fan = F.coalesce(F.col(_FAN), F.lit(1))
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(_SALT, F.pmod(row_hash, fan).cast("int")).drop(_FAN)
+    spread = left.join(F.broadcast(hot), on, "left").withColumn(_SALT, row_salt(left, fan)).drop(_FAN)
     repeated = (
         unique.join(F.broadcast(hot), on, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), fan - 1)))

@@ -73,10 +73,9 @@ def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAG
 
     A run of any size fits, because its outcomes are put in order across the cluster and cut into
     pages of at most ``page_rows``; a page is a whole document with the counts of its run, and
-    ``page`` ascends with the order. A run of ordinary size is a single page. Columns that are not
-    part of the document only break ties, so that many equal entries need not share a task.
+    ``page`` ascends with the order. A run of ordinary size is a single page. The partition an
+    outcome comes from breaks ties, so that many equal entries need not share a task.
     """
-    ties = [c for c in outcomes.columns if c not in [*header, "folder", "name", "success", "error"]]
     entry = F.struct(
         F.col("folder").alias("name"),
         display_name(F.col("name"), F.col("folder")).alias("full_name"),
@@ -84,9 +83,9 @@ def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAG
         F.coalesce("error", F.lit("")).alias("error"),
     )
     ordered = (
-        outcomes.select(*header, entry.alias("entry"), *ties)
-        .repartitionByRange(*header, "entry", *ties)
-        .sortWithinPartitions(*header, "entry", *ties)
+        outcomes.select(*header, entry.alias("entry"), F.spark_partition_id().alias("_from"))
+        .repartitionByRange(*header, "entry", "_from")
+        .sortWithinPartitions(*header, "entry", "_from")
         .withColumn("_at", F.monotonically_increasing_id())
     )
     row = F.col("_at").bitwiseAND(2**_ROW_BITS - 1)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakekit.operators.matching import fits_broadcast, match
+from lakekit.operators.matching import fits_broadcast, match, row_salt
 
 WAYS = {
     "broadcast": {},
@@ -39,6 +39,14 @@ def test_rows_are_matched_once(left, right, way, how):
     assert got == sorted(expected)
 
 
+def test_copies_of_one_row_are_spread(spark):
+    copies = spark.range(0, 4000, 1, 40).select(F.lit("hot").alias("k"))
+    salts = copies.withColumn("s", row_salt(copies, F.lit(4))).groupBy("s").count().collect()
+    assert len(salts) == 4 and max(r["count"] for r in salts) < 2500
+    right = spark.createDataFrame([("hot",), ("cold",)], "k string")
+    assert match(copies, right, ["k"], "left_semi", **WAYS["hot keys salted"]).count() == 4000
+
+
 def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert fits_broadcast(spark.range(10), rows=10)
     assert not fits_broadcast(spark.range(11), rows=10)
