@@ -36,3 +36,7 @@ STATUS_OK = "success"
 STATUS_FAILED = "failure"
 EXIT_OK = 0
 EXIT_FAILED = 1
+
+# The schema of a table that names none, and the note on copied items.
+DEFAULT_SCHEMA = "dbo"
+COPY_NOTE = "Migrated from source workspace"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakekit.constants import ALL_ENVIRONMENTS
 from lakekit.operators.coverage import compile_rules
+from lakekit.operators.cuts import cut
 from lakekit.operators.matching import BROADCAST_ROWS, fits_broadcast
 from lakekit.session import stored
 
@@ -15,8 +16,6 @@ ITEM_REFERENCE = r"^\$items\.([^.]+)\.(.+)\.\$?([A-Za-z]+)$"
 SPACE_REFERENCE = r"^\$workspace\.\$?([A-Za-z]+)$"
 SPACE_TYPE = "Workspace"
 
-_ROW_BITS = 33
-
 
 def resolve_replacements(rules: DataFrame, inventory: DataFrame, environment: str) -> DataFrame:
     """Rules with ``replacement``, the value for one environment.
@@ -66,14 +65,10 @@ def rewrite(df: DataFrame, rules: DataFrame, order: list[str], text: str = "text
         raise ValueError("a replacement could not be resolved")
     if fits_broadcast(prepared, rules_per_pass):
         return _apply(df, text, _as_array(prepared, order))
-    ordered = stored(
-        prepared.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    )
-    row = F.col("_at").bitwiseAND(2**_ROW_BITS - 1)
-    cut = ordered.withColumn("_pass", F.col("_at") - F.pmod(row, F.lit(rules_per_pass)))
-    passes = cut.select("_pass").distinct().orderBy("_pass").collect()  # one number per pass
+    cuts = stored(cut(prepared, order, rules_per_pass, "_pass"), "rule-passes")
+    passes = cuts.select("_pass").distinct().orderBy("_pass").collect()  # one number per pass
     for each in passes:
-        df = _apply(df, text, _as_array(cut.filter(F.col("_pass") == each[0]), order))
+        df = _apply(df, text, _as_array(cuts.filter(F.col("_pass") == each[0]), order))
     return df
 
 

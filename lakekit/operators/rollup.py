@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakekit.constants import EXIT_FAILED, EXIT_OK
 from lakekit.functions.values import display_name, status_of
+from lakekit.operators.cuts import cut
 from lakekit.operators.matching import match
 from lakekit.session import stored
 
@@ -18,9 +19,6 @@ PAGE_ROWS = 10_000
 ENTRY_SCHEMA = "array<struct<name string, full_name string, status string, error string>>"
 COUNTS = {"total_workspaces": "bigint", "successful_count": "bigint", "failed_count": "bigint"}
 
-# monotonically_increasing_id puts the row number of a partition into the lower 33 bits.
-_ROW_BITS = 33
-
 
 def roll_up(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Total, successful and failed outcomes; an outcome without a result failed."""
@@ -82,15 +80,9 @@ def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAG
         status_of(F.coalesce("success", F.lit(False))).alias("status"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
-    ordered = (
-        outcomes.select(*header, entry.alias("entry"), F.spark_partition_id().alias("_from"))
-        .repartitionByRange(*header, "entry", "_from")
-        .sortWithinPartitions(*header, "entry", "_from")
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    row = F.col("_at").bitwiseAND(2**_ROW_BITS - 1)
+    entries = outcomes.select(*header, entry.alias("entry"), F.spark_partition_id().alias("_from"))
     pages = (
-        ordered.withColumn("page", F.col("_at") - F.pmod(row, F.lit(page_rows)))
+        cut(entries, [*header, "entry", "_from"], page_rows, "page")
         .groupBy(*header, "page")
         .agg(F.array_sort(F.collect_list("entry")).alias("workspaces"))
     )

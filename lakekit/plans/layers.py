@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekit.constants import DEFAULT_SCHEMA
 from lakekit.sinks.tables import merge_files, publish
 from lakekit.sources.tables import read_folder, read_path, read_table
 
-DEFAULT_SCHEMA = "dbo"
 TARGET_FILE_BYTES = 1024**3
 
 

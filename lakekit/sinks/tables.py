@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.constants import COPY_NOTE
 from lakekit.session import run_dir
 
 
@@ -37,7 +38,7 @@ def append_copy(
     items: DataFrame,
     target: str,
     types: list[str] | None = None,
-    description: str = "Migrated from source workspace",
+    description: str = COPY_NOTE,
     type_column: str = "type",
     fmt: str = "parquet",
 ) -> None:

@@ -135,11 +135,11 @@ def inline_rules(spark: SparkSession, rows: list[tuple], more: list[pa.Field] |
     """Rules written in a program, as a local table that needs no Python worker to read."""
     schema = pa.schema([*RULE_FIELDS, *(more or [])])
     named = [dict(zip(schema.names, row)) for row in rows]
-    return normalise_rules(spark.createDataFrame(pa.Table.from_pylist(named, schema=schema)))
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema=schema))
 
 
 def pattern_rules(spark: SparkSession) -> DataFrame:
-    return inline_rules(spark, PATTERN_RULES)
+    return normalise_rules(inline_rules(spark, PATTERN_RULES))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def coverage_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_rules(literal_rules(spark, sf_dir)).unionByName(pattern_rules(spark))
+    return normalise_rules(literal_rules(spark, sf_dir).unionByName(inline_rules(spark, PATTERN_RULES)))
 
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ def rewrite_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("r", 1, 3, "MIT License", None, "Notebook", None, "M$1T License"),
         ("r", 1, 4, "Version 2.0", None, None, "**/src1*/**", "Version 3"),
     ]
-    return _rewritten(spark, sf_dir, inline_rules(spark, rules, REPLACEMENT))
+    return _rewritten(spark, sf_dir, normalise_rules(inline_rules(spark, rules, REPLACEMENT)))
 
 
 def rewrite_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def rewrite_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("r", 1, 1, f'token = "({TOKEN})"', "true", None, None, "$workspace"),
         ("r", 1, 2, "[0-9]{16}", "true", '["Notebook", "Report"]', None, "<number>"),
     ]
-    return _rewritten(spark, sf_dir, inline_rules(spark, rules, REPLACEMENT))
+    return _rewritten(spark, sf_dir, normalise_rules(inline_rules(spark, rules, REPLACEMENT)))
 
 
 def rewrite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +295,7 @@ def rewrite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("r", 1, 3, "Apache License", "false", None, None, [("prod", "P"), ("_ALL_", "plain text")]),
     ]
     rules = inline_rules(spark, rows, [pa.field("replace_value", pa.map_(pa.string(), pa.string()))])
-    resolved = resolve_replacements(rules, nations.unionByName(suppliers), "test")
+    resolved = resolve_replacements(normalise_rules(rules), nations.unionByName(suppliers), "test")
     return _rewritten(spark, sf_dir, resolved)
 
 
