@@ -54,8 +54,12 @@ def match(
 
     A proven small right side is broadcast. Beyond that both sides shuffle on the key, and only
     keys that hold more than ``hot_key_rows`` left rows are spread over ``fan_out`` salts, with
-    the one right row of such a key repeated for each salt.
+    the one right row of such a key repeated for each salt. The check and the search for such keys
+    read the sides once more, so a side that is costly to compute should be stored first.
     """
+    taken = set(keep or {}) & set(left.columns)
+    if taken:
+        raise ValueError(f"columns exist on both sides: {sorted(taken)}")
     complete = right.dropna(subset=on)
     if keep:
         unique = complete.groupBy(*on).agg(*[value.alias(name) for name, value in keep.items()])

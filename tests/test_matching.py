@@ -39,6 +39,11 @@ def test_rows_are_matched_once(left, right, way, how):
     assert got == sorted(expected)
 
 
+def test_kept_columns_need_names_of_their_own(left, right):
+    with pytest.raises(ValueError, match="both sides: .'n'."):
+        match(left, right, ["k"], "left", keep={"n": F.min("v")})
+
+
 def test_copies_of_one_row_are_spread(spark):
     copies = spark.range(0, 4000, 1, 40).select(F.lit("hot").alias("k"))
     salts = copies.withColumn("s", row_salt(copies, F.lit(4))).groupBy("s").count().collect()

@@ -140,3 +140,14 @@ def test_rules_of_the_units_own_files(spark, tree, as_rows):
     pytest.importorskip("yaml")
     audit = audit_corpus(spark, tree)
     assert as_rows(audit.per_unit) == [("First Unit", 0, True), ("[D] Second, Unit", 2, False)]
+
+
+def test_trees_without_rules_or_units(spark, tmp_path, as_rows):
+    pytest.importorskip("yaml")
+    file = tmp_path / "u" / "in.CopyJob" / "copy.json"
+    file.parent.mkdir(parents=True)
+    file.write_text(COPY)
+    nothing = audit_corpus(spark, str(tmp_path))
+    assert (nothing.findings.count(), nothing.per_unit.count(), as_rows(nothing.gate)) == (0, 0, [(False, 0)])
+    (tmp_path / "u" / "config.yml").write_text("core:")
+    assert as_rows(audit_corpus(spark, str(tmp_path)).per_unit) == [("u", 2, False)]
