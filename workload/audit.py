@@ -219,13 +219,16 @@ def glob_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule rows made of parts and suppliers, with blanks, missing values, repeats and mixed spellings."""
+    size = F.col("p_size")
+    padded = F.concat(F.lit(" \t"), "p_name", F.lit("\n"))
+    both = F.to_json(F.array("p_type", "p_brand"))
     part = read_path(spark, f"{sf_dir}/part.parquet").select(
         F.col("p_brand").alias("source_file"),
-        F.when(F.col("p_size") > 40, 2).otherwise(1).alias("visit_no"),
+        F.when(size > 40, 2).otherwise(1).alias("visit_no"),
         F.col("p_partkey").alias("rule_no"),
-        F.when(F.col("p_size") < 5, "  ").when(F.col("p_size") < 8, None).otherwise(F.concat(F.lit(" \t"), "p_name", F.lit("\n"))).alias("find_value"),
-        F.when(F.col("p_size") < 20, "TRUE").when(F.col("p_size") < 30, "true").when(F.col("p_size") < 35, "yes").alias("is_regex"),
-        F.when(F.col("p_size") < 25, F.col("p_type")).when(F.col("p_size") < 35, F.to_json(F.array("p_type", "p_brand"))).alias("item_type"),
+        F.when(size < 5, "  ").when(size < 8, None).otherwise(padded).alias("find_value"),
+        F.when(size < 20, "TRUE").when(size < 30, "true").when(size < 35, "yes").alias("is_regex"),
+        F.when(size < 25, F.col("p_type")).when(size < 35, both).alias("item_type"),
         F.lit(None).cast("string").alias("file_path"),
     )
     supplier = read_path(spark, f"{sf_dir}/supplier.parquet").select(
