@@ -20,6 +20,7 @@ from lakekit.sources.tables import spread
 BANDS = 32
 ROWS = 4
 BITS = 4
+PAIRED_MEMBERS = 16
 _MINIMA = BANDS * ROWS
 _PER_LONG = 64 // BITS
 _SEEDS = mix(np.arange(1, _MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -126,14 +127,80 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def against_hub(hub: np.ndarray, values: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int]:
+    """A set as its difference from a hub's: linked or not, the differing values, its share of a need and its lack.
+
+    With ``R`` removed from the hub ``h`` and ``A`` added, two sets share ``|h| - |Rx| - |Ry|`` values and those that
+    are in both ``R`` or both ``A``. So a link of x and y takes ``lack(y) + need(x)`` differing values in common, where
+    ``need`` is ``(100 |R| + percent |A|) / (100 + percent)`` and ``lack`` is what y is short of a link with the hub,
+    more than 0 if it is not linked. Two sets that have ``k`` values in common have one among all but the last
+    ``k - 1`` of either, in any one order; added values, which are rare, come first.
+    """
+    added = np.setdiff1d(values, hub, assume_unique=True)
+    removed = np.setdiff1d(hub, values, assume_unique=True)
+    both = 100 + percent
+    lack = percent * (len(hub) + len(values)) - both * (len(hub) - len(removed))
+    unlike = np.concatenate([np.sort(added), np.sort(mix(removed ^ np.uint64(0xD6E8FEB86659FD93)))])
+    return lack <= 0, unlike, (100 * len(removed) + percent * len(added)) // both, -(-lack // both)
+
+
+_RELATIVE = "a long, b long, linked boolean, unlike array<long>, need int, lack int"
+
+
+def _relative(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, first, rows = None, None, []
+            for one, other in zip(byte_rows(batch.column("text_a")), byte_rows(batch.column("text_b"))):
+                if last is None or len(one) != len(last) or not np.array_equal(one, last):
+                    last, first = one, shingles(lower_ascii(one), words)
+                rows.append(against_hub(first, shingles(lower_ascii(other), words), percent))
+            linked, unlike, need, lack = zip(*rows) if rows else ((), (), (), ())
+            yield pa.record_batch(
+                [
+                    batch.column("a"),
+                    batch.column("b"),
+                    pa.array(linked, pa.bool_()),
+                    pa.array([values.view(np.int64) for values in unlike], pa.list_(pa.int64())),
+                    pa.array(need, pa.int32()),
+                    pa.array(lack, pa.int32()),
+                ],
+                ["a", "b", "linked", "unlike", "need", "lack"],
+            )
+
+    return run
+
+
+def _sharing(relative: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it."""
+    size = F.size("unlike")
+    ask = relative.filter("not linked").select(
+        "a", F.col("b").alias("y"), F.col("c").alias("cy"), "lack", (size - F.col("lack")).alias("upto_y"),
+        F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("lack") + 1, F.lit(0)))).alias("at_y", "value"),
+    )
+    have = relative.select(
+        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "need", (size - F.col("need")).alias("upto_x"),
+        F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("need"), F.lit(0)))).alias("at_x", "value"),
+    )
+    ask, have = ask.alias("p"), have.alias("q")
+    same = (F.col("p.a") == F.col("q.a")) & (F.col("p.value") == F.col("q.value")) & (F.col("cx") != F.col("cy"))
+    early = (F.col("at_x") <= F.col("upto_x") - F.col("lack")) & (F.col("at_y") <= F.col("upto_y") - F.col("need"))
+    pairs = ask.join(have, same & early)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
+    return pairs.select("a", "b", "text_a", "text_b")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs that the estimate does not rule out and whose whole sets are similar enough."""
     sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"]
     likely = pairs.join(sides[0], "a").join(sides[1], "b").filter(_possible("n_a", "n_b", "sig_a", "sig_b", percent))
-    both = likely.select("a", "b")
-    for side in "ab":
-        both = both.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
+    both = _with_texts(likely.select("a", "b"), texts)
+    return both.mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
 def _possible(n_a: str, n_b: str, sig_a: str, sig_b: str, percent: int) -> Column:
@@ -151,8 +218,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     2. A node is posted under 32 band keys of 4 minima each. At a similarity of 0.85 the odds that a pair shares
        no band are 6e-11, at 0.8 they are 5e-8.
     3. Each node is compared with the one smallest node it shares most bands with. Most groups are joined by that.
-    4. In buckets that still hold several components, whatever is outside the bucket's largest component is compared
-       with all of the bucket that is not in its own component. Pairs inside a component are never made.
+    4. In buckets that still hold several components, pairs across components are candidates; pairs inside one are
+       never made. A bucket of more than 16 nodes does not pair its members. They are compared with its hub, the one
+       with most links so far, and those not linked to it look up others by the values in which both differ from the
+       hub in the same way, of which a link takes a known number (``against_hub``). Nothing is lost by that.
     5. Candidates pass the bit-count estimate, six standard deviations wide, then the test on whole sets.
 
     No step has a cap on partners. Hot keys are counted before they are shuffled, joins on them are left to
@@ -195,23 +264,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         joined = components(links, work)
 
         labelled = members.drop("hub").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        by_part = labelled.groupBy("key", "c").agg(F.count("*").alias("m"))
-        split = by_part.groupBy("key").agg(
-            F.count("*").alias("parts"), F.max_by("c", F.struct(F.col("m"), -F.col("c"))).alias("major")
-        )
-        open_rows = work.keep(
-            labelled.join(split.filter("parts > 1").drop("parts"), "key")
-            .join(nodes.drop("bands"), "node")
-            .select("key", "node", "c", "n", "sig", (F.col("c") == F.col("major")).alias("in_major"))
-        )
-        minor, other = open_rows.filter("not in_major").alias("x"), open_rows.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-        once = F.col("y.in_major") | (F.col("x.node") < F.col("y.node"))
-        pairs = minor.join(other, apart & once & _possible("x.n", "y.n", "x.sig", "y.sig", percent)).select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+        degree = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d"))
+        labelled = work.keep(labelled.join(degree, "node", "left").select("key", "node", "c", F.coalesce("d", F.lit(0)).alias("d")))
+        buckets = labelled.groupBy("key").agg(
+            F.count("*").alias("m"),
+            F.min("c").alias("low"),
+            F.max("c").alias("high"),
+            F.max_by("node", F.struct(F.col("d"), -F.col("node"))).alias("hub"),
         )
-        pairs = work.keep(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
-        more = work.keep(_confirmed(pairs, nodes, texts, words, percent))
+        buckets = buckets.filter("low != high").drop("low", "high")
+        open_rows = work.keep(labelled.drop("d").join(buckets, "key"))
+
+        small = open_rows.filter(F.col("m") <= PAIRED_MEMBERS).join(nodes.drop("bands"), "node")
+        one, other = small.alias("x"), small.alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node"))
+        pairs = one.join(other, apart & _possible("x.n", "y.n", "x.sig", "y.sig", percent))
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+        large = open_rows.filter(F.col("m") > PAIRED_MEMBERS).filter("node != hub")
+        large = large.select(F.col("hub").alias("a"), F.col("node").alias("b"), "c").distinct()
+        large = work.keep(large)
+        relative = _with_texts(large.select("a", "b"), texts).mapInArrow(_relative(words, percent), _RELATIVE)
+        relative = work.keep(relative.join(large, ["a", "b"]))
+        sharing = _sharing(relative)
+        by_hub = relative.filter("linked").select("a", "b")
+
+        pairs = work.keep(pairs.union(sharing).distinct().join(stars, ["a", "b"], "left_anti"))
+        more = work.keep(_confirmed(pairs, nodes, texts, words, percent).union(by_hub))
         final = components(links.union(more), work)
         found = placed.join(final, "node", "left").select(
             "doc_id",
