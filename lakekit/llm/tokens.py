@@ -16,7 +16,7 @@ from lakekit.llm.hashing import byte_rows
 
 BLOCK_IDS = 16_384
 SEGMENT_IDS = 1 << 20
-_CACHED_CHUNKS = 400_000
+_CACHED_CHUNKS = 300_000
 _JOINED_CHUNKS = 4_096
 
 
@@ -35,6 +35,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.chunks: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         alone = [self._ids(text) for text in ("ab", "cd", "!?")]
         self.by_chunk = self._ids(" ab\tcd\n\n !? ") == sum(alone, [])
 
@@ -61,18 +62,30 @@ class Encoder:
                 yield np.asarray(self._ids(text.decode("utf-8", "replace")), dtype="<u4").tobytes()
                 continue
             chunks = text.split()
-            fresh = list(set(chunks).difference(self.chunks))
+            fresh = set(chunks).difference(self.chunks)
             if fresh:
                 if len(self.chunks) > _CACHED_CHUNKS:
-                    self.chunks.clear()
-                    fresh = list(set(chunks))
-                self._learn(fresh)
+                    # what is still in use moves on from the older half, the rest of it is forgotten
+                    self.older, self.chunks, fresh = self.chunks, {}, set(chunks)
+                known = {chunk: self.older[chunk] for chunk in fresh if chunk in self.older}
+                self.chunks.update(known)
+                self._learn([chunk for chunk in fresh if chunk not in known])
             yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder, kept for its next tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with its rows' ids, the end id included. A null text has only that."""
-    encoder, end = Encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+    encoder, end = encoder_of(path), np.asarray([end_id], dtype="<u4").tobytes()
     for batch in batches:
         yield batch, [ids + end for ids in encoder.encode(byte_rows(batch.column("text")))]
 
