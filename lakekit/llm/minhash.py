@@ -171,21 +171,25 @@ def _relative(words: int, percent: int):
     return run
 
 
-def _sharing(relative: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it."""
+def _sharing(relative: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it.
+
+    The estimate is part of the join's condition, so values that many share make no rows of unlike sets.
+    """
     size = F.size("unlike")
+    relative = relative.join(nodes.select(F.col("node").alias("b"), "n", "sig"), "b")
     ask = relative.filter("not linked").select(
-        "a", F.col("b").alias("y"), F.col("c").alias("cy"), "lack", (size - F.col("lack")).alias("upto_y"),
+        "a", F.col("b").alias("y"), F.col("c").alias("cy"), "n", "sig", "lack", (size - F.col("lack")).alias("upto_y"),
         F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("lack") + 1, F.lit(0)))).alias("at_y", "value"),
     )
     have = relative.select(
-        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "need", (size - F.col("need")).alias("upto_x"),
+        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "n", "sig", "need", (size - F.col("need")).alias("upto_x"),
         F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("need"), F.lit(0)))).alias("at_x", "value"),
     )
     ask, have = ask.alias("p"), have.alias("q")
     same = (F.col("p.a") == F.col("q.a")) & (F.col("p.value") == F.col("q.value")) & (F.col("cx") != F.col("cy"))
     early = (F.col("at_x") <= F.col("upto_x") - F.col("lack")) & (F.col("at_y") <= F.col("upto_y") - F.col("need"))
-    pairs = ask.join(have, same & early)
+    pairs = ask.join(have, same & early & _possible("p.n", "q.n", "p.sig", "q.sig", percent))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -286,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         large = work.keep(large)
         relative = _with_texts(large.select("a", "b"), texts).mapInArrow(_relative(words, percent), _RELATIVE)
         relative = work.keep(relative.join(large, ["a", "b"]))
-        sharing = _sharing(relative)
+        sharing = _sharing(relative, nodes, percent)
         by_hub = relative.filter("linked").select("a", "b")
 
         pairs = work.keep(pairs.union(sharing).distinct().join(stars, ["a", "b"], "left_anti"))

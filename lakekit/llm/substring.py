@@ -315,7 +315,6 @@ def _replace(window: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(batch.columns)
-            names = batch.schema.names[: len(columns)]
             firsts, lasts = rows[-2].to_pylist(), rows[-1].to_pylist()
             text_at, size_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
             texts = rows[text_at].to_pylist()
@@ -333,7 +332,7 @@ def _replace(window: int, columns: list[str]):
             rows[text_at] = pa.array(texts, rows[text_at].type)
             if size_at is not None:
                 rows[size_at] = pa.array(sizes, rows[size_at].type)
-            yield pa.RecordBatch.from_arrays(rows[: len(columns)], names)
+            yield pa.RecordBatch.from_arrays(rows[: len(columns)], columns)
 
     return run
 
@@ -346,7 +345,7 @@ def cut_texts(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     with Scratch(docs.sparkSession, "substring") as work:
         places = stored(repeated_windows(docs, window, work), "substring-places")
-    kept = [F.col(f"d.`{c}`") for c in docs.columns]
+    kept = [F.col(f"d.`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns)]
     doc_id, twin = F.col("d.doc_id").cast("long"), F.hash("d.text")
     same = doc_id.eqNullSafe(F.col("p.doc_id")) & (twin == F.col("p.twin"))
     rows = docs.alias("d").join(places.alias("p"), same, "left").select(*kept, F.col("p.first"), F.col("p.last"))
