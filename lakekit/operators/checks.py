@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.constants import ENVIRONMENTS
@@ -22,13 +22,18 @@ def outside_domain(df: DataFrame, column: str, domain: list[str] = ENVIRONMENTS)
     return df.filter(~F.coalesce(F.lower(column).isin(domain), F.lit(False)))
 
 
+def _stop_unless(df: DataFrame, valid: Column, message: Column) -> DataFrame:
+    """All rows, or an error. A filter is never pruned, so counting or selecting other columns checks as well."""
+    return df.filter(F.when(valid, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def require_domain(df: DataFrame, column: str, domain: list[str] = ENVIRONMENTS) -> DataFrame:
     """All rows; the job stops at the first value outside the domain and lists the domain sorted."""
     message = F.concat(
         F.lit("invalid value '"), F.coalesce(column, F.lit("")), F.lit("', must be one of: " + ", ".join(sorted(domain)))
     )
     valid = F.coalesce(F.lower(column).isin(domain), F.lit(False))
-    return df.withColumn(column, F.when(valid, F.col(column)).otherwise(F.raise_error(message)))
+    return _stop_unless(df, valid, message)
 
 
 def look_up(rows: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
@@ -43,5 +48,5 @@ def without_mapping(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 def require_mapping(rows: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
     """As ``look_up``, but the job stops at a key without a mapping."""
-    missing = F.raise_error(F.concat(F.lit("no mapping for '"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("'")))
-    return look_up(rows, mapping, key, value).withColumn(value, F.coalesce(F.col(value), missing))
+    message = F.concat(F.lit("no mapping for '"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("'"))
+    return _stop_unless(look_up(rows, mapping, key, value), F.col(value).isNotNull(), message)

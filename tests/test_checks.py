@@ -22,6 +22,10 @@ def test_domain(environments, as_rows):
     assert require_domain(environments.limit(3), "e").count() == 3
     with pytest.raises(Exception, match="invalid value 'staging', must be one of: dev, prod, test"):
         require_domain(environments.filter("e = 'staging'"), "e").collect()
+    wrong = require_domain(environments.withColumn("n", F.lit(1)), "e")
+    for checked in (wrong.count, wrong.select("n").collect):
+        with pytest.raises(Exception, match="invalid value"):
+            checked()
 
 
 def test_environment_map(spark, as_rows):
@@ -31,6 +35,10 @@ def test_environment_map(spark, as_rows):
     assert as_rows(without_mapping(asked, names, "e")) == [("test",)]
     with pytest.raises(Exception, match="no mapping for 'test'"):
         require_mapping(asked, names, "e", "name").collect()
+    with pytest.raises(Exception, match="no mapping for 'test'"):
+        require_mapping(asked, names, "e", "name").count()
+    with pytest.raises(Exception, match="no mapping for 'test'"):
+        require_mapping(asked, names, "e", "name").select("e").collect()
     assert require_mapping(asked.filter("e = 'dev'"), names, "e", "name").first().name == "[D] X"
 
 
