@@ -21,20 +21,43 @@ LITERAL_SALTS = 16
 INLINE_RULES = 64
 
 
+def _java_pattern(written: Column) -> Column:
+    """A pattern written for Python, as Java spells it.
+
+    Named groups become plain ones, which keeps their numbers; a brace that opens no quantifier is a character;
+    ``{,n}`` counts from 0; classes such as ``\\s`` cover more than ASCII.
+    """
+    unnamed = F.regexp_replace(written, r"\(\?P<[A-Za-z_]\w*>", "(")
+    from_zero = F.regexp_replace(unnamed, r"(?<!\\)\{,(\d*)\}", "{0,$1}")
+    braces = F.regexp_replace(from_zero, r"(?<!\\)(?<!\\[pPxNk])\{(?!\d+(?:,\d*)?\})", r"\\{")
+    return F.when(F.rlike(braces, F.lit(r"\\[sSdDwWbB]")), F.concat(F.lit("(?U)"), braces)).otherwise(braces)
+
+
+def _with_pattern(rules: DataFrame) -> DataFrame:
+    """Rules with ``pattern``, null for literal rules, and whether it compiles."""
+    compiles = F.expr("try_reflect('java.util.regex.Pattern', 'compile', pattern)").isNotNull()
+    written = rules.withColumn("pattern", F.when(F.col("is_regex"), _java_pattern(F.col("find_value"))))
+    return written.withColumn("_compiles", ~F.col("is_regex") | compiles)
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """Pattern rules that do not compile, with a reason. They cover nothing, and rewriting refuses them."""
+    refused = _with_pattern(rules).filter(~F.col("_compiles"))
+    return refused.select(*rules.columns, F.lit("pattern does not compile").alias("reason"))
+
+
 def compile_rules(rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Add path_regexes and, for pattern rules, the group that holds the id; drop what cannot match.
 
-    Pattern rules whose pattern does not compile cover nothing. Named groups are written as plain
-    ones, which keeps their numbers. ``keep`` names further columns to carry along.
+    Pattern rules whose pattern does not compile cover nothing; ``rejected_rules`` lists them.
+    ``keep`` names further columns to carry along.
     """
-    pattern = F.when(F.col("is_regex"), F.regexp_replace("find_value", r"\(\?P<[A-Za-z_]\w*>", "("))
-    compiles = F.expr("try_reflect('java.util.regex.Pattern', 'compile', pattern)").isNotNull()
     no_escapes = F.regexp_replace("pattern", r"(?s)\\Q.*?(\\E|$)|\\.", "")
     no_classes = F.regexp_replace(no_escapes, r"\[\^?\]?[^\]]*\]", "")
     has_group = F.rlike(no_classes, F.lit(r"\((?!\?)|\(\?<[A-Za-z]"))
     return (
-        rules.withColumn("pattern", pattern)
-        .filter(~F.col("is_regex") | compiles)
+        _with_pattern(rules)
+        .filter("_compiles")
         .select(
             *(keep or []),
             "find_value",

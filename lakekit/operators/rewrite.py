@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekit.constants import ALL_ENVIRONMENTS
-from lakekit.operators.coverage import compile_rules
+from lakekit.operators.coverage import compile_rules, rejected_rules
 from lakekit.operators.cuts import cut
-from lakekit.operators.matching import BROADCAST_ROWS, fits_broadcast
+from lakekit.operators.matching import BROADCAST_ROWS, fits_broadcast, match
 from lakekit.session import stored
 
 # References a replacement may hold. The "$" before the attribute is optional.
@@ -16,14 +16,21 @@ ITEM_REFERENCE = r"^\$items\.([^.]+)\.(.+)\.\$?([A-Za-z]+)$"
 SPACE_REFERENCE = r"^\$workspace\.\$?([A-Za-z]+)$"
 SPACE_TYPE = "Workspace"
 
+# A pattern with one group that stands by itself: flags, what precedes the group, the group, what follows it.
+_ATOMS = r"(?:[^\\()\[\]|]++|\\[^0-9kQE]|\[\^?\]?(?:[^\]\\]|\\.)*+\])"
+_ONE_GROUP = rf"^((?:\(\?[a-zA-Z]+\))*)({_ATOMS}*+)\(((?:{_ATOMS}|\|)*+)\)((?![?*+{{]){_ATOMS}*+)$"
 
-def resolve_replacements(rules: DataFrame, inventory: DataFrame, environment: str) -> DataFrame:
+
+def resolve_replacements(
+    rules: DataFrame, inventory: DataFrame, environment: str, by: list[str] | None = None
+) -> DataFrame:
     """Rules with ``replacement``, the value for one environment.
 
     ``replace_value`` maps an environment, or ``_ALL_``, to a text or a reference. References are
     looked up in the inventory rows (environment, type, name, attribute, value) of the
-    environment; the space itself is the row of type ``Workspace`` with an empty name. What
-    cannot be resolved stays null.
+    environment; the space itself is the row of type ``Workspace`` with an empty name. ``by`` names
+    columns that a rule and the inventory it may refer to share, such as the unit. What cannot be
+    resolved stays null.
     """
     given = F.coalesce(
         F.try_element_at("replace_value", F.lit(environment)),
@@ -41,48 +48,73 @@ def resolve_replacements(rules: DataFrame, inventory: DataFrame, environment: st
     )
     values = (
         inventory.filter(F.col("environment") == environment)
-        .groupBy(F.col("type").alias("_type"), F.col("name").alias("_name"), F.col("attribute").alias("_attribute"))
+        .groupBy(*(by or []), F.col("type").alias("_type"), F.col("name").alias("_name"), F.col("attribute").alias("_attribute"))
         .agg(F.min("value").alias("_value"))
     )
-    looked_up = keyed.join(values, ["_type", "_name", "_attribute"], "left")
+    looked_up = keyed.join(values, [*(by or []), "_type", "_name", "_attribute"], "left")
     replacement = F.when(F.col("_type").isNotNull(), F.col("_value")).otherwise(F.col("_given"))
     return looked_up.select(*rules.columns, replacement.alias("replacement"))
 
 
-def rewrite(df: DataFrame, rules: DataFrame, order: list[str], text: str = "text", rules_per_pass: int = BROADCAST_ROWS) -> DataFrame:
+def rewrite(
+    df: DataFrame,
+    rules: DataFrame,
+    order: list[str],
+    text: str = "text",
+    rules_per_pass: int = BROADCAST_ROWS,
+    by: list[str] | None = None,
+) -> DataFrame:
     """Apply every rule in scope to each text, in rule order: a rule sees what the rules before it left.
 
     A literal rule replaces each copy of its value. A pattern rule replaces group 1 inside each
     match, or the whole match without a group. The rows need item_type and rel_path, and item_name
-    if a rule is limited to items by name.
+    if a rule is limited to items by name. ``by`` names columns, such as the unit, that a rule and
+    the rows it applies to must agree in. Rules that tie in ``order`` follow their unit, their
+    source_file and then their other columns, however many there are.
 
     The rules reach the rows as one array from a scalar subquery, folded over the text, so the
-    texts are neither joined nor shuffled. More rules than the broadcast check allows are applied
-    in several passes of bounded size.
+    texts are neither joined nor shuffled; with ``by`` it is one array per unit, matched to the
+    rows. More rules than the broadcast check allows are applied in several passes of bounded size.
+    Rules that do not compile or have no replacement are refused.
     """
-    prepared = _prepared(rules, order)
+    if not rejected_rules(rules).isEmpty():
+        raise ValueError("a pattern does not compile, see rejected_rules")
+    prepared = stored(_prepared(rules, order, by or []), "rewrite-rules")
     if not prepared.filter(F.col("replacement").isNull()).isEmpty():
         raise ValueError("a replacement could not be resolved")
     if fits_broadcast(prepared, rules_per_pass):
-        return _apply(df, text, _as_array(prepared, order))
-    cuts = stored(cut(prepared, order, rules_per_pass, "_pass"), "rule-passes")
+        return _apply(df, text, prepared, by)
+    cuts = stored(cut(prepared, prepared.columns, rules_per_pass, "_pass"), "rule-passes")
     passes = cuts.select("_pass").distinct().orderBy("_pass").collect()  # one number per pass
     for each in passes:
-        df = _apply(df, text, _as_array(cuts.filter(F.col("_pass") == each[0]), order))
+        df = _apply(df, text, cuts.filter(F.col("_pass") == each[0]).drop("_pass"), by)
     return df
 
 
-def _prepared(rules: DataFrame, order: list[str]) -> DataFrame:
-    """Rules in the form the fold reads; pattern rules that do not compile are left out."""
-    return compile_rules(rules, keep=[*order, "replacement", "item_names"])
+def _prepared(rules: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """Rules in the form the fold reads. Their columns, from left to right, are the order they apply in."""
+    ties = [c for c in [*by, "unit", "source_file"] if c in rules.columns and c not in order]
+    compiled = compile_rules(rules, keep=[*order, *dict.fromkeys(ties), "replacement", "item_names"])
+    flags, before, group, after = [F.regexp_extract("pattern", _ONE_GROUP, no) for no in range(1, 5)]
+    may_be_empty = F.rlike(F.lit(""), F.concat(flags, F.lit("^(?:"), group, F.lit(")$")))
+    alone = F.col("is_regex") & F.rlike("pattern", F.lit(_ONE_GROUP)) & ~may_be_empty
+    parted = F.concat(flags, F.lit("("), before, F.lit(")(?:"), group, F.lit(")("), after, F.lit(")"))
+    quoted = F.regexp_replace("replacement", r"([\\$])", r"\\$1")
+    return compiled.withColumns(
+        {"parted": F.when(alone, parted), "put": F.when(alone, F.concat(F.lit("$1"), quoted, F.lit("$2")))}
+    )
 
 
-def _as_array(rules: DataFrame, order: list[str]) -> Column:
-    entries = F.collect_list(F.struct(*order, *[c for c in rules.columns if c not in order]))
-    return rules.agg(F.array_sort(entries).alias("rules")).scalar()
+def _with_rules(df: DataFrame, rules: DataFrame, by: list[str] | None) -> DataFrame:
+    """The rows with the sorted array of the rules they may need."""
+    entries = F.struct(*[c for c in rules.columns if c not in (by or [])])
+    entries = F.array_sort(F.collect_list(entries)).alias("_rules")
+    if not by:
+        return df.withColumn("_rules", rules.agg(entries).scalar())
+    return match(df, rules.groupBy(*by).agg(entries), by, "left", keep={"_rules": F.first("_rules")})
 
 
-def _apply(df: DataFrame, text: str, rules: Column) -> DataFrame:
+def _apply(df: DataFrame, text: str, rules: DataFrame, by: list[str] | None) -> DataFrame:
     item_type, rel_path = F.col("item_type"), F.col("rel_path")
     item_name = F.col("item_name") if "item_name" in df.columns else F.lit(None).cast("string")
 
@@ -97,15 +129,22 @@ def _apply(df: DataFrame, text: str, rules: Column) -> DataFrame:
             F.contains(done, rule["find_value"]) & of_item & on_path,
             F.replace(done, rule["find_value"], rule["replacement"]),
         ).otherwise(done)
-        by_pattern = F.when(of_item & on_path & F.rlike(done, rule["pattern"]), _replace_group(done, rule)).otherwise(done)
+        in_place = F.when(rule["parted"].isNotNull(), F.regexp_replace(done, rule["parted"], rule["put"]))
+        in_place = in_place.otherwise(_replace_group(done, rule))
+        by_pattern = F.when(of_item & on_path & F.rlike(done, rule["pattern"]), in_place).otherwise(done)
         return F.when(rule["is_regex"], by_pattern).otherwise(literal)
 
     # A subquery may not stand inside the fold itself, so it is a column of its own first.
-    return df.withColumn("_rules", rules).withColumn(text, F.aggregate("_rules", F.col(text), step)).drop("_rules")
+    folded = F.coalesce(F.aggregate("_rules", F.col(text), step), F.col(text))
+    return _with_rules(df, rules, by).withColumn(text, folded).select(*df.columns)
 
 
 def _replace_group(text: Column, rule: Column) -> Column:
-    """Put a text together again from what lies between the matches and the changed matches."""
+    """Put a text together again from what lies between the matches and the changed matches.
+
+    For patterns without a group, and those whose group lies within others: there, each copy of the group's text inside
+    the match is replaced, as its place cannot be told.
+    """
     matches = F.call_function("regexp_extract_all", text, rule["pattern"], F.lit(0))
     groups = F.call_function("regexp_extract_all", text, rule["pattern"], rule["group_no"])
     between = F.split(text, rule["pattern"], -1)

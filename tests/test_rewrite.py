@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakekit.operators.coverage import uncovered
+from lakekit.operators.coverage import rejected_rules, uncovered
 from lakekit.operators.extract import notebook_ids
 from lakekit.operators.rewrite import resolve_replacements, rewrite
 from lakekit.sources import normalise_rules
@@ -37,7 +37,12 @@ CASES = {
     "dollar in the replacement": ("a", [rule("(a)", "$1$items", "true")], "$1$items"),
     "empty matches change nothing": ("abc", [rule("x*", "-", "true")], "abc"),
     "absent group": ("k k=a", [rule("k(?:=(a))?", "X", "true")], "k k=X"),
-    "does not compile": ("(", [rule("(", "X", "true")], "("),
+    "group by place, not by text": ("id=1-11", [rule("id=([0-9]+)-[0-9]+", "X", "true")], "id=X-11"),
+    "group after its own text": ("11-1", [rule("[0-9]+-([0-9])", "$2", "true")], "11-$2"),
+    "flags before a group": ("K=a", [rule("(?i)k=(a)", "X", "true")], "K=X"),
+    "brace that is a character": ('{"k": "a"}', [rule(r'{"k":\s*"(\w)"', "X", "true")], '{"k": "X"}'),
+    "counted from zero": ("aab", [rule("a{,3}b", "X", "true")], "X"),
+    "space beyond ASCII": ("k:\u00a0a", [rule(r"k:\s(a)", "X", "true")], "k:\u00a0X"),
     "pattern then literal": ("id=7", [rule("id=([0-9])", "seven", "true"), rule("seven", "7!")], "id=7!"),
     "other type": ("x", [rule("x", "y", item_type="CopyJob")], "x"),
     "path": ("x", [rule("x", "y", path="**/b.json"), rule("y", "z", path="c/*")], "y"),
@@ -94,6 +99,38 @@ def test_rules_limited_by_item_name(spark):
     assert {r.text for r in rewrite(df.drop("item_name"), rules, ORDER).collect()} == {"xz"}
 
 
+def test_rules_and_references_of_one_unit(spark):
+    rows = [("f", 1, 1, "aaa", None, None, None, "u1", "$workspace.id"), ("f", 1, 1, "aaa", None, None, None, "u2", "$workspace.id")]
+    rules = normalise_rules(spark.createDataFrame(rows, f"{RULES}, unit string, given string"))
+    rules = rules.withColumn("replace_value", F.create_map(F.lit("_ALL_"), "given"))
+    inventory = spark.createDataFrame(
+        [("u1", "dev", "Workspace", "", "id", "one"), ("u2", "dev", "Workspace", "", "id", "two")],
+        "unit string, environment string, type string, name string, attribute string, value string",
+    )
+    resolved = resolve_replacements(rules, inventory, "dev", by=["unit"])
+    df = spark.createDataFrame(
+        [("aaa", "Notebook", "p", unit) for unit in ("u1", "u2", "u3", None)], "text string, item_type string, rel_path string, unit string"
+    )
+    for per_pass in (1000, 1):
+        done = rewrite(df, resolved, ORDER, by=["unit"], rules_per_pass=per_pass).collect()
+        assert {r.unit: r.text for r in done} == {"u1": "one", "u2": "two", "u3": "aaa", None: "aaa"}
+
+
+def test_ties_in_order_fall_alike_in_any_number_of_passes(spark):
+    rows = [("b.yml", 1, 1, "y", None, None, None, "z"), ("a.yml", 1, 1, "x", None, None, None, "y"), ("c.yml", 1, 1, "z", None, None, None, "w")]
+    rules = normalise_rules(spark.createDataFrame(rows, f"{RULES}, replacement string"))
+    df = spark.createDataFrame([("x", "Notebook", "p")], "text string, item_type string, rel_path string")
+    assert [rewrite(df, rules, ORDER, rules_per_pass=n).first().text for n in (1000, 2, 1)] == ["w", "w", "w"]
+
+
+def test_rules_that_do_not_compile_are_listed_and_refused(spark):
+    rows = [("f", 1, 1, "(", "true", None, None, "X"), ("f", 1, 2, "(", "false", None, None, "X"), ("f", 1, 3, "(a)", "true", None, None, "X")]
+    rules = normalise_rules(spark.createDataFrame(rows, f"{RULES}, replacement string"))
+    assert [(r.rule_no, r.reason) for r in rejected_rules(rules).collect()] == [(1, "pattern does not compile")]
+    with pytest.raises(ValueError, match="compile"):
+        rewritten(spark, "(", [rule("(", "X", "true")])
+
+
 def test_unresolved_replacement_stops(spark):
     with pytest.raises(ValueError, match="resolved"):
         rewritten(spark, "x", [rule("x", None)])
