@@ -5,16 +5,16 @@ Outcomes have folder, name, success and error, next to whatever describes their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekit.constants import EXIT_FAILED, EXIT_OK
 from lakekit.functions.values import display_name, status_of
-from lakekit.operators.cuts import cut
 from lakekit.operators.matching import match
 from lakekit.session import stored
 
-PAGE_ROWS = 10_000
+# monotonically_increasing_id puts the number of the partition above the lower 33 bits.
+_ROW_BITS = 33
 # Names and types of a result document.
 ENTRY_SCHEMA = "array<struct<name string, full_name string, status string, error string>>"
 COUNTS = {"total_workspaces": "bigint", "successful_count": "bigint", "failed_count": "bigint"}
@@ -66,13 +66,13 @@ def count_by(inventory: DataFrame, column: str) -> DataFrame:
     return inventory.groupBy(column).agg(F.count("*").alias("items"))
 
 
-def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAGE_ROWS) -> DataFrame:
-    """The result documents of each run: header, counts, and the outcomes sorted by name, as JSON.
+def result_document(outcomes: DataFrame, header: list[str]) -> DataFrame:
+    """The result document of each run, as text fragments: the header columns, position, fragment.
 
-    A run of any size fits, because its outcomes are put in order across the cluster and cut into
-    pages of at most ``page_rows``; a page is a whole document with the counts of its run, and
-    ``page`` ascends with the order. A run of ordinary size is a single page. The partition an
-    outcome comes from breaks ties, so that many equal entries need not share a task.
+    The fragments of a run, put together by position, are one JSON document: at 0 header and
+    counts, then one fragment per outcome, sorted by name, and at the end the closing brackets.
+    This form is the same at every size, and no task needs to hold a run. The partition an outcome
+    comes from breaks ties, so that many equal entries need not share a task either.
     """
     entry = F.struct(
         F.col("folder").alias("name"),
@@ -80,16 +80,45 @@ def result_document(outcomes: DataFrame, header: list[str], page_rows: int = PAG
         status_of(F.coalesce("success", F.lit(False))).alias("status"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
-    entries = outcomes.select(*header, entry.alias("entry"), F.spark_partition_id().alias("_from"))
-    pages = (
-        cut(entries, [*header, "entry", "_from"], page_rows, "page")
-        .groupBy(*header, "page")
-        .agg(F.array_sort(F.collect_list("entry")).alias("workspaces"))
+    placed = _numbered(outcomes.select(*header, entry.alias("entry")), header)
+    comma = F.when(F.col("position") > 1, ",").otherwise("")
+    entries = placed.select(*header, "position", F.concat(comma, F.to_json("entry")).alias("fragment"))
+    counts = roll_up(outcomes, header)
+    opening = F.regexp_replace(F.to_json(F.struct(*header, *COUNTS)), r"\}$", ',"workspaces":[')
+    ends = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("position"), opening.alias("fragment")),
+        F.struct((F.col("total_workspaces") + 1).alias("position"), F.lit("]}").alias("fragment")),
     )
-    counts = stored(roll_up(outcomes, header))
-    complete = match(pages, counts, header, "left", keep={name: F.max(name) for name in COUNTS})
-    document = F.to_json(F.struct(*header, *COUNTS, "workspaces"))
-    return complete.select(*header, "page", document.alias("document"))
+    return entries.unionByName(counts.select(*header, F.inline(ends)))
+
+
+def _numbered(entries: DataFrame, header: list[str]) -> DataFrame:
+    """The entries of each run numbered from 1 in their order: rows counted per partition, then offsets."""
+    key = F.to_json(F.struct(*header))
+    rows = entries.select("*", key.alias("_run"), F.spark_partition_id().alias("_from"))
+    order = ["_run", "entry", "_from"]
+    at = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    ordered = stored(ordered, "outcomes").withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    parts = ordered.groupBy("_run", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_run").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    starts = parts.select("_run", "_part", (F.col("_first") - before).alias("_start"))
+    placed = match(ordered, starts, ["_run", "_part"], "left", keep={"_start": F.max("_start")})
+    return placed.select(*header, "entry", (F.col("_at") - F.col("_start") + 1).alias("position"))
+
+
+def flatten_fragments(fragments: DataFrame, header: list[str]) -> DataFrame:
+    """One row per outcome of documents in fragments, with the header and counts of its run."""
+    kept = fragments.withColumn("_run", F.to_json(F.struct(*header)))
+    schema = ", ".join(f"{name} {kind}" for name, kind in COUNTS.items())
+    opening = F.from_json(F.concat("fragment", F.lit("]}")), schema)
+    heads = kept.filter("position = 0").select("_run", opening.alias("_c"))
+    counts = {name: F.max(f"_c.{name}") for name in COUNTS}
+    entry_schema = ENTRY_SCHEMA.removeprefix("array<").removesuffix(">")
+    entry = F.from_json(F.regexp_replace("fragment", "^,", ""), entry_schema)
+    entries = kept.filter("position > 0 and fragment <> ']}'").select(*header, "_run", entry.alias("_e"))
+    return match(entries, heads, ["_run"], "left", keep=counts).select(*header, *COUNTS, "_e.*")
 
 
 def flatten_document(documents: DataFrame, header_types: dict[str, str], document: str = "document") -> DataFrame:

@@ -1,11 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakekit.operators.rollup import (
     count_by,
     findings_per_unit,
     flatten_document,
+    flatten_fragments,
     gate,
     overall,
     result_document,
@@ -16,6 +18,14 @@ from lakekit.operators.rollup import (
 OUTCOMES = "environment string, duration double, folder string, name string, success boolean, error string"
 
 
+def whole(fragments, run):
+    """The documents, by their run, put together by position."""
+    texts = {}
+    for row in sorted(fragments.collect(), key=lambda r: r.position):
+        texts[row[run]] = texts.get(row[run], "") + row.fragment
+    return {name: json.loads(text) for name, text in texts.items()}
+
+
 def outcomes(spark):
     rows = [
         ("dev", 12.5, "Zebra", "[D] Zebra", True, ""),
@@ -37,9 +47,8 @@ def test_without_outcomes_all_requested_failed(spark, as_rows):
 
 
 def test_document_is_sorted_by_name(spark):
-    documents = result_document(outcomes(spark), ["environment", "duration"]).collect()
-    assert [json.loads(d.document) for d in documents] == [
-        {
+    assert whole(result_document(outcomes(spark), ["environment", "duration"]), "environment") == {
+        "dev": {
             "environment": "dev",
             "duration": 12.5,
             "total_workspaces": 3,
@@ -51,35 +60,41 @@ def test_document_is_sorted_by_name(spark):
                 {"name": "Zebra", "full_name": "[D] Zebra", "status": "success", "error": ""},
             ],
         }
-    ]
+    }
 
 
-def test_pages_bound_a_document_and_keep_the_order(spark):
-    many = spark.range(500).select(
+@pytest.mark.parametrize("size", [1, 5, 50_000])
+def test_a_document_has_one_form_at_every_size(spark, size):
+    many = spark.range(size).select(
         F.when(F.col("id") % 3 == 0, "test").otherwise("prod").alias("environment"),
-        F.format_string("u%04d", "id").alias("folder"),
+        F.format_string("u%06d", F.col("id") % 20_000).alias("folder"),
         F.lit("").alias("name"),
         (F.col("id") % 5 > 0).alias("success"),
         F.lit("").alias("error"),
     )
-    pages = result_document(many.repartition(5), ["environment"], page_rows=40).orderBy("environment", "page").collect()
-    got = {}
-    for page in pages:
-        document = json.loads(page.document)
-        assert len(document["workspaces"]) <= 40
-        assert document["total_workspaces"] == (167 if page.environment == "test" else 333)
-        got.setdefault(page.environment, []).extend(w["name"] for w in document["workspaces"])
-    assert {e: len(n) for e, n in got.items()} == {"test": 167, "prod": 333}
-    assert all(names == sorted(names) for names in got.values())
+    got = whole(result_document(many.repartition(5), ["environment"]), "environment")
+    wanted = {"test": [], "prod": []}
+    for no in range(size):
+        wanted["prod" if no % 3 else "test"].append(f"u{no % 20_000:06d}")
+    assert {e: [w["name"] for w in d["workspaces"]] for e, d in got.items()} == {e: sorted(n) for e, n in wanted.items() if n}
+    assert all(d["total_workspaces"] == len(d["workspaces"]) for d in got.values())
+
+
+def test_runs_without_a_name_and_without_outcomes(spark):
+    unnamed = outcomes(spark).withColumn("environment", F.lit(None).cast("string"))
+    got = whole(result_document(unnamed, ["environment"]), "environment")
+    assert [(w["name"], got[None]["total_workspaces"]) for w in got[None]["workspaces"]] == [("Alpha", 3), ("Mike", 3), ("Zebra", 3)]
+    assert [r.total_workspaces for r in flatten_fragments(result_document(unnamed, ["environment"]), ["environment"]).collect()] == [3, 3, 3]
+    assert result_document(unnamed.filter("false"), ["environment"]).count() == 0
 
 
 def test_flattening_gives_the_outcomes_back(spark, as_rows):
-    flat = flatten_document(result_document(outcomes(spark), ["environment"]), {"environment": "string"})
-    assert as_rows(flat.select("name", "status", "error")) == [
-        ("Alpha", "failure", "broken"),
-        ("Mike", "success", ""),
-        ("Zebra", "success", ""),
-    ]
+    wanted = [("Alpha", "failure", "broken"), ("Mike", "success", ""), ("Zebra", "success", "")]
+    fragments = result_document(outcomes(spark), ["environment"])
+    assert as_rows(flatten_fragments(fragments, ["environment"]).select("name", "status", "error")) == wanted
+    text = json.dumps(whole(fragments, "environment")["dev"])
+    flat = flatten_document(spark.createDataFrame([(text,)], "document string"), {"environment": "string"})
+    assert as_rows(flat.select("name", "status", "error")) == wanted
 
 
 def test_gate(spark, as_rows):

@@ -10,7 +10,7 @@ from lakekit.functions import display_name, status_of
 from lakekit.operators.checks import look_up, outside_domain, without_mapping
 from lakekit.operators.matching import match
 from lakekit.operators.reconcile import discover_units, existing, find_by_name, missing, orphans, reconcile
-from lakekit.operators.rollup import count_by, flatten_document, result_document, roll_up, roll_up_requested
+from lakekit.operators.rollup import count_by, flatten_fragments, result_document, roll_up, roll_up_requested
 from lakekit.plans.reconciliation import reconcile_and_report
 from lakekit.sources import read_path
 
@@ -135,8 +135,13 @@ def outcome_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = _table(spark, sf_dir, "events").withColumn("environment", _environment())
     durations = times.groupBy("environment").agg(span.alias("duration"))
     timed = match(all_outcomes, durations, ["environment"], "left", keep={"duration": F.max("duration")})
-    documents = result_document(timed, ["environment", "duration"])
-    return flatten_document(documents, {"environment": "string", "duration": "double"})
+    header = ["environment", "duration"]
+    return flatten_fragments(result_document(timed, header), header)
+
+
+def outcome_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result documents of all events, as the fragments they are made of."""
+    return result_document(outcomes(spark, sf_dir), ["environment"])
 
 
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("error"),
     )
     run = reconcile_and_report(docs.select("doc_id", "lang"), labels.select("doc_id"), left, ["doc_id"], ["lang"])
-    entries = flatten_document(run.documents, {"lang": "string"})
+    entries = flatten_fragments(run.documents, ["lang"])
 
     def part(label: str, df: DataFrame, key: str, count: str) -> DataFrame:
         return df.select(F.lit(label).alias("part"), F.col(key).alias("key"), F.col(count).alias("n"))
@@ -181,6 +186,7 @@ QUERIES = {
     "outcome_rollup": outcome_rollup,
     "outcome_fallback": outcome_fallback,
     "outcome_document": outcome_document,
+    "outcome_fragments": outcome_fragments,
     "run_report": run_report,
 }
 
@@ -257,6 +263,24 @@ ORACLES = {
                folder AS name, {FULL_NAME} AS full_name, {STATUS} AS status, error
         FROM outcomes JOIN totals USING (environment)
     """,
+    "outcome_fragments": f"""
+        WITH {OUTCOMES},
+        entries AS (SELECT environment, folder AS name, {FULL_NAME} AS full_name, {STATUS} AS status, error FROM outcomes),
+        totals AS (SELECT environment, count(*) AS n, count(*) FILTER (success) AS good FROM outcomes GROUP BY environment),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY name, full_name, status, error) AS position
+                   FROM entries)
+        SELECT environment, position,
+            CASE WHEN position > 1 THEN ',' ELSE '' END || '{{"name":' || CAST(to_json(name) AS VARCHAR)
+            || ',"full_name":' || CAST(to_json(full_name) AS VARCHAR) || ',"status":' || CAST(to_json(status) AS VARCHAR)
+            || ',"error":' || CAST(to_json(error) AS VARCHAR) || '}}' AS fragment
+        FROM placed
+        UNION ALL
+        SELECT environment, 0, '{{"environment":"' || environment || '","total_workspaces":' || n || ',"successful_count":' || good
+            || ',"failed_count":' || (n - good) || ',"workspaces":['
+        FROM totals
+        UNION ALL
+        SELECT environment, n + 1, ']}}' FROM totals
+    """,
     "run_report": """
         WITH labelled AS (SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
         SELECT 'action' AS part, CASE WHEN quality IS NULL THEN 'create' ELSE 'keep' END AS key, count(*) AS n
