@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +80,9 @@ def match(
         .select(*on, F.lit(fan_out).alias(_FAN))
     )
     fan = F.coalesce(F.col(_FAN), F.lit(1))
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(_SALT, row_salt(left, fan)).drop(_FAN)
+    # Rows with an incomplete key match nothing, so any salt will do.
+    left_fan = F.when(reduce(or_, [F.col(f"`{c}`").isNull() for c in on]), fan_out).otherwise(fan)
+    spread = left.join(F.broadcast(hot), on, "left").withColumn(_SALT, row_salt(left, left_fan)).drop(_FAN)
     repeated = (
         unique.join(F.broadcast(hot), on, "left")
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), fan - 1)))

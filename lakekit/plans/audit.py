@@ -49,14 +49,13 @@ def report(findings: DataFrame, units: DataFrame) -> Audit:
 def corpus_occurrences(spark: SparkSession, root: str, units: DataFrame, unit: str | None = None) -> DataFrame:
     """Occurrences in the notebooks and JSON files of the given units.
 
-    Notebooks and JSON files are listed apart, so each file is read once, and files of other units
-    are left out before anything is searched.
+    Notebooks and JSON files are listed apart, so each file is read once. What meets the units are
+    the short rows found in the texts, never the texts.
     """
-
-    def files(names: str) -> DataFrame:
-        return match(read_corpus(spark, root, names, unit), units, ["unit"], "left_semi")
-
-    return notebook_ids(files(NOTEBOOK_FILE)).unionByName(field_ids(files("*.json")))
+    found = notebook_ids(read_corpus(spark, root, NOTEBOOK_FILE, unit)).unionByName(
+        field_ids(read_corpus(spark, root, "*.json", unit))
+    )
+    return match(stored(found, "occurrences"), units, ["unit"], "left_semi")
 
 
 def audit_corpus(

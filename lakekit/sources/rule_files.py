@@ -55,7 +55,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, text in zip(batch["path"], batch["text"]):
             try:
                 content = yaml.safe_load(text)
-            except yaml.YAMLError:
+            except Exception:  # dates out of range and the like are no YAMLError
                 continue
             if not isinstance(content, dict):
                 continue

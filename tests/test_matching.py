@@ -57,3 +57,10 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert not fits_broadcast(spark.range(11), rows=10)
     assert not fits_broadcast(spark.range(2).select(F.repeat(F.lit("x"), 100).alias("t")), rows=10, size=150)
     assert fits_broadcast(spark.range(0))
+
+
+def test_incomplete_keys_on_the_left_are_spread_and_kept(spark):
+    left = spark.range(200).select(F.when(F.col("id") < 3, F.col("id")).alias("k"), "id")
+    right = spark.range(2).select(F.col("id").alias("k"))
+    for how, rows in (("left", 200), ("left_anti", 198), ("left_semi", 2)):
+        assert match(left, right, ["k"], how, broadcast_rows=0).count() == rows

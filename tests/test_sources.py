@@ -190,6 +190,7 @@ def test_rule_files_are_parsed(spark, tmp_path):
             "extend: ['../../shared.yaml', ../parameter.yml]\nfind_replace:\n"
             "- find_value:\n  is_regex: true\n  item_type: [A, B]\n  file_path: '**/x'\n  replace_value: {_ALL_: $workspace.id}\n"
         ),
+        "other.yml": "when: 2024-99-99",
         "shared.yaml": '{"find_replace": [{"find_value": 5, "is_regex": "yes", "item_type": 3}]}',
         "u/broken.yml": "a: [",
         "u/list.yml": "- a",
@@ -199,7 +200,7 @@ def test_rule_files_are_parsed(spark, tmp_path):
         file = tmp_path / name
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(content)
-    assert {r.source_file for r in read_rule_files(spark, str(tmp_path)).collect()} == set(files) - {"u/broken.yml", "u/list.yml"}
+    assert {r.source_file for r in read_rule_files(spark, str(tmp_path)).collect()} == set(files) - {"other.yml", "u/broken.yml", "u/list.yml"}
     units = spark.createDataFrame([("u",), ("v",), ("w",)], "unit string")
     got = read_unit_rules(spark, str(tmp_path), units).orderBy("visit_no", "rule_no").collect()
     assert [(r.unit, r.find_value, r.is_regex, r.item_types, r.file_paths, r.replace_value) for r in got] == [

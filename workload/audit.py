@@ -18,6 +18,7 @@ from lakekit.operators.matching import match
 from lakekit.operators.rewrite import resolve_replacements, rewrite
 from lakekit.operators.rollup import findings_per_unit, gate, overall
 from lakekit.plans.audit import findings_of, sorted_findings
+from lakekit.session import stored
 from lakekit.sources import normalise_rules, read_path, spread
 from workload.text import DOC_LINES, IDS, MAIL, TOKEN
 
@@ -101,8 +102,9 @@ def occurrences_in(files: DataFrame) -> DataFrame:
 def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One literal rule per identifier and item type of the documents labelled good."""
     good = read_path(spark, f"{sf_dir}/labels.parquet").filter(F.col("quality") == 1)
-    known = match(kept(spark, sf_dir).select("doc_id", "item_type", "text"), good, ["doc_id"], "left_semi")
-    ids = known.select("item_type", F.explode(F.regexp_extract_all("text", F.lit(IDS), 0)).alias("id")).distinct()
+    held = kept(spark, sf_dir).select("doc_id", "item_type", F.regexp_extract_all("text", F.lit(IDS), 0).alias("ids"))
+    known = match(stored(held.filter(F.size("ids") > 0), "ids"), good, ["doc_id"], "left_semi")
+    ids = known.select("item_type", F.explode("ids").alias("id")).distinct()
     return ids.select(
         F.lit("labelled.yml").alias("source_file"),
         F.lit(1).alias("visit_no"),
@@ -171,14 +173,10 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_path(spark, f"{sf_dir}/documents.parquet").select(F.col("source").alias("unit")).distinct()
 
 
-def mail_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = occurrences(spark, sf_dir).filter(F.col("field_name") == "mail")
-    return findings_of(found, all_rules(spark, sf_dir))
-
-
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings per unit, clean units too; mail addresses only, so that some units are clean."""
-    return findings_per_unit(_units(spark, sf_dir), mail_findings(spark, sf_dir)).orderBy("unit")
+    """Findings per unit, clean units too."""
+    findings = findings_of(occurrences(spark, sf_dir), all_rules(spark, sf_dir))
+    return findings_per_unit(_units(spark, sf_dir), findings).orderBy("unit")
 
 
 def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,14 +406,14 @@ ORACLES = {
     "audit_report": f"""
         WITH {OCCURRENCES}, {LITERALS},
         counts AS (SELECT unit, count(*) AS n FROM occ
-                   WHERE field_name = 'mail' AND {NOT_LITERAL} AND NOT {BY_PATTERN} GROUP BY unit)
+                   WHERE {NOT_LITERAL} AND NOT {BY_PATTERN} GROUP BY unit)
         SELECT unit, coalesce(n, 0) AS findings, n IS NULL AS clean
         FROM (SELECT DISTINCT source AS unit FROM documents) LEFT JOIN counts USING (unit)
     """,
     "audit_totals": f"""
         WITH {OCCURRENCES}, {LITERALS},
         counts AS (SELECT unit, count(*) AS n FROM occ
-                   WHERE field_name = 'mail' AND {NOT_LITERAL} AND NOT {BY_PATTERN} GROUP BY unit)
+                   WHERE {NOT_LITERAL} AND NOT {BY_PATTERN} GROUP BY unit)
         SELECT count(*) AS units, count(*) - count(n) AS clean_units,
                CAST(coalesce(sum(n), 0) AS BIGINT) AS findings
         FROM (SELECT DISTINCT source AS unit FROM documents) LEFT JOIN counts USING (unit)
