@@ -21,6 +21,7 @@ BANDS = 32
 ROWS = 4
 BITS = 4
 PAIRED_MEMBERS = 16
+SLOTS = 1024
 _MINIMA = BANDS * ROWS
 _PER_LONG = 64 // BITS
 _SEEDS = mix(np.arange(1, _MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -134,13 +135,13 @@ def against_hub(hub: np.ndarray, values: np.ndarray, percent: int) -> tuple[bool
     are in both ``R`` or both ``A``. So a link of x and y takes ``lack(y) + need(x)`` differing values in common, where
     ``need`` is ``(100 |R| + percent |A|) / (100 + percent)`` and ``lack`` is what y is short of a link with the hub,
     more than 0 if it is not linked. Two sets that have ``k`` values in common have one among all but the last
-    ``k - 1`` of either, in any one order; added values, which are rare, come first.
+    ``k - 1`` of either, in any one order.
     """
     added = np.setdiff1d(values, hub, assume_unique=True)
     removed = np.setdiff1d(hub, values, assume_unique=True)
     both = 100 + percent
     lack = percent * (len(hub) + len(values)) - both * (len(hub) - len(removed))
-    unlike = np.concatenate([np.sort(added), np.sort(mix(removed ^ np.uint64(0xD6E8FEB86659FD93)))])
+    unlike = np.concatenate([added, mix(removed ^ np.uint64(0xD6E8FEB86659FD93))])
     return lack <= 0, unlike, (100 * len(removed) + percent * len(added)) // both, -(-lack // both)
 
 
@@ -171,25 +172,48 @@ def _relative(words: int, percent: int):
     return run
 
 
-def _sharing(relative: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it.
+_RANKED = f"{_RELATIVE}, c long"
 
-    The estimate is part of the join's condition, so values that many share make no rows of unlike sets.
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for unlike, often in zip(batch.column("unlike"), batch.column("often")):
+            values = unlike.values.to_numpy()
+            held = np.zeros(SLOTS, dtype=np.int64)
+            held[often.values.field("slot").to_numpy()] = often.values.field("held").to_numpy()
+            rows.append(values[np.lexsort((values, held[values % SLOTS]))])
+        place = batch.schema.get_field_index("unlike")
+        yield batch.set_column(place, "unlike", pa.array(rows, pa.list_(pa.int64()))).drop_columns(["often"])
+
+
+def _rare_first(relative: DataFrame) -> DataFrame:
+    """Each row's differing values in one order per hub, those that few of the hub's rows hold first.
+
+    How often is counted per slot of values, a fixed number of slots per hub. Any order gives the same links; this
+    one makes few candidates, because what most rows lack of the hub comes last.
     """
+    slots = F.transform("unlike", lambda value: F.pmod(value, F.lit(SLOTS)).cast("int"))
+    held = relative.select("a", F.explode(slots).alias("slot")).groupBy("a", "slot").agg(F.count("*").alias("held"))
+    often = held.groupBy("a").agg(F.collect_list(F.struct("slot", "held")).alias("often"))
+    return relative.join(often, "a").select("a", "b", "linked", "unlike", "need", "lack", "c", "often").mapInArrow(_ranked, _RANKED)
+
+
+def _sharing(ranked: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it."""
     size = F.size("unlike")
-    relative = relative.join(nodes.select(F.col("node").alias("b"), "n", "sig"), "b")
-    ask = relative.filter("not linked").select(
-        "a", F.col("b").alias("y"), F.col("c").alias("cy"), "n", "sig", "lack", (size - F.col("lack")).alias("upto_y"),
+    ask = ranked.filter("not linked").select(
+        "a", F.col("b").alias("y"), F.col("c").alias("cy"), "lack", (size - F.col("lack")).alias("upto_y"),
         F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("lack") + 1, F.lit(0)))).alias("at_y", "value"),
     )
-    have = relative.select(
-        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "n", "sig", "need", (size - F.col("need")).alias("upto_x"),
+    have = ranked.select(
+        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "need", (size - F.col("need")).alias("upto_x"),
         F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("need"), F.lit(0)))).alias("at_x", "value"),
     )
     ask, have = ask.alias("p"), have.alias("q")
     same = (F.col("p.a") == F.col("q.a")) & (F.col("p.value") == F.col("q.value")) & (F.col("cx") != F.col("cy"))
     early = (F.col("at_x") <= F.col("upto_x") - F.col("lack")) & (F.col("at_y") <= F.col("upto_y") - F.col("need"))
-    pairs = ask.join(have, same & early & _possible("p.n", "q.n", "p.sig", "q.sig", percent))
+    pairs = ask.join(have, same & early)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -225,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     4. In buckets that still hold several components, pairs across components are candidates; pairs inside one are
        never made. A bucket of more than 16 nodes does not pair its members. They are compared with its hub, the one
        with most links so far, and those not linked to it look up others by the values in which both differ from the
-       hub in the same way, of which a link takes a known number (``against_hub``). Nothing is lost by that.
+       hub in the same way, of which a link takes a known number (``against_hub``), rare ones first. Nothing is lost.
     5. Candidates pass the bit-count estimate, six standard deviations wide, then the test on whole sets.
 
     No step has a cap on partners. Hot keys are counted before they are shuffled, joins on them are left to
@@ -290,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         large = work.keep(large)
         relative = _with_texts(large.select("a", "b"), texts).mapInArrow(_relative(words, percent), _RELATIVE)
         relative = work.keep(relative.join(large, ["a", "b"]))
-        sharing = _sharing(relative, nodes, percent)
+        sharing = _sharing(work.keep(_rare_first(relative)))
         by_hub = relative.filter("linked").select("a", "b")
 
         pairs = work.keep(pairs.union(sharing).distinct().join(stars, ["a", "b"], "left_anti"))
