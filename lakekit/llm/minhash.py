@@ -187,33 +187,45 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(place, "unlike", pa.array(rows, pa.list_(pa.int64()))).drop_columns(["often"])
 
 
-def _rare_first(relative: DataFrame) -> DataFrame:
+def _rare_first(relative: DataFrame, work: Scratch) -> DataFrame:
     """Each row's differing values in one order per hub, those that few of the hub's rows hold first.
 
     How often is counted per slot of values, a fixed number of slots per hub. Any order gives the same links; this
-    one makes few candidates, because what most rows lack of the hub comes last.
+    one makes few candidates, because what most rows lack of the hub comes last. The counts are written, so that the
+    join on a hub of many rows meets no aggregation and Spark can split it.
     """
     slots = F.transform("unlike", lambda value: F.pmod(value, F.lit(SLOTS)).cast("int"))
     held = relative.select("a", F.explode(slots).alias("slot")).groupBy("a", "slot").agg(F.count("*").alias("held"))
-    often = held.groupBy("a").agg(F.collect_list(F.struct("slot", "held")).alias("often"))
+    often = work.keep(held.groupBy("a").agg(F.collect_list(F.struct("slot", "held")).alias("often")))
     return relative.join(often, "a").select("a", "b", "linked", "unlike", "need", "lack", "c", "often").mapInArrow(_ranked, _RANKED)
 
 
-def _sharing(ranked: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it."""
+def _sharing(ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that differ from a hub alike often enough to be linked, y not linked to it.
+
+    What two rows must have in common is the same whichever is y, so y is the one that lacks more, by id if both lack
+    the same. Then x has to share what it needs and lacks itself, at least. And x has values to share only if what it
+    does not need covers the lack of y, so its need is ``percent`` hundredths of that lack or more.
+    """
     size = F.size("unlike")
+    least_need = F.floor((F.col("lack") - 1) * percent / 100).cast("int")
     ask = ranked.filter("not linked").select(
         "a", F.col("b").alias("y"), F.col("c").alias("cy"), "lack", (size - F.col("lack")).alias("upto_y"),
-        F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("lack") + 1, F.lit(0)))).alias("at_y", "value"),
+        F.posexplode(
+            F.slice("unlike", F.lit(1), F.greatest(size - F.col("lack") - least_need + 1, F.lit(0)))
+        ).alias("at_y", "value"),
     )
     have = ranked.select(
-        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "need", (size - F.col("need")).alias("upto_x"),
-        F.posexplode(F.slice("unlike", F.lit(1), F.greatest(size - F.col("need"), F.lit(0)))).alias("at_x", "value"),
+        "a", F.col("b").alias("x"), F.col("c").alias("cx"), "need", "lack", (size - F.col("need")).alias("upto_x"),
+        F.posexplode(
+            F.slice("unlike", F.lit(1), F.greatest(size - F.col("need") - F.greatest("lack", F.lit(1)) + 1, F.lit(0)))
+        ).alias("at_x", "value"),
     )
     ask, have = ask.alias("p"), have.alias("q")
     same = (F.col("p.a") == F.col("q.a")) & (F.col("p.value") == F.col("q.value")) & (F.col("cx") != F.col("cy"))
-    early = (F.col("at_x") <= F.col("upto_x") - F.col("lack")) & (F.col("at_y") <= F.col("upto_y") - F.col("need"))
-    pairs = ask.join(have, same & early)
+    early = (F.col("at_x") <= F.col("upto_x") - F.col("p.lack")) & (F.col("at_y") <= F.col("upto_y") - F.col("need"))
+    less = (F.col("q.lack") < F.col("p.lack")) | ((F.col("q.lack") == F.col("p.lack")) & (F.col("x") < F.col("y")))
+    pairs = ask.join(have, same & early & less)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -314,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         large = work.keep(large)
         relative = _with_texts(large.select("a", "b"), texts).mapInArrow(_relative(words, percent), _RELATIVE)
         relative = work.keep(relative.join(large, ["a", "b"]))
-        sharing = _sharing(work.keep(_rare_first(relative)))
+        sharing = _sharing(work.keep(_rare_first(relative, work)), percent)
         by_hub = relative.filter("linked").select("a", "b")
 
         pairs = work.keep(pairs.union(sharing).distinct().join(stars, ["a", "b"], "left_anti"))
