@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakekit.llm import minhash, mixing, packing, permutation, quality, substring, tokens, toxicity, urls, warc
+from lakekit.llm import (
+    alignment,
+    maintext,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    permutation,
+    quality,
+    substring,
+    tokens,
+    toxicity,
+    urls,
+    warc,
+)
 from lakekit.llm.scratch import Scratch
 from lakekit.session import stored
 
@@ -87,6 +101,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(docs, model)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def alignment_digests(aligned: DataFrame) -> DataFrame:
+    """Aligned documents with the hash of their groups in place of the groups; no tokens have an empty one."""
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(
+        _table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return alignment_digests(aligned)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    values = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    rows = negatives.finite(vectors, "embedding").select("vec_id", moved.alias("label"), values.alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -98,6 +141,9 @@ QUERIES = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_main_text": op11_main_text,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 

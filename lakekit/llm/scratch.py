@@ -31,8 +31,8 @@ class Scratch:
     def __exit__(self, *failure) -> None:
         delete(self.spark, self.path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self._made += 1
         path = f"{self.path}/{self._made}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
         return self.spark.read.schema(df.schema).parquet(path)
