@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,24 @@ def _byte_characters() -> dict[str, int]:
     return shown
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How many bytes each id of both vocabularies stands for. Alignment needs no more, so tasks need no tokenizer."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+    @property
+    def ids(self) -> np.dtype:
+        """The type that ids are packed in."""
+        return np.dtype("<u2" if max(len(self.a), len(self.b)) <= 1 << 16 else "<u4")
+
+    @cached_property
+    def names(self) -> list[str]:
+        """Each id as text with each mark that may follow it: within a side, between sides, after a group, at the end."""
+        return [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(max(len(self.a), len(self.b)))]
+
+
 class Vocabularies:
     """Both tokenizers of a worker with the bytes of each id.
 
@@ -46,15 +68,13 @@ class Vocabularies:
 
     def __init__(self, byte_file: str, piece_file: str, rank_file: str | None = None, pattern: str | None = None):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_file)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
+        self.byte_file = byte_file
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
+        with open(byte_file, encoding="utf-8") as file:
+            content = json.load(file)
+        vocabulary = content["model"]["vocab"] | {token["content"]: token["id"] for token in content["added_tokens"]}
         shown = _byte_characters()
-        vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             known = all(c in shown for c in token)
@@ -64,9 +84,7 @@ class Vocabularies:
         self.b_bytes = [
             bytes([int(byte[1], 16)]) if (byte := as_byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces
         ]
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        self.width = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4")
+        self.sizes = Sizes(*(np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)))
         self.quick = None
         if rank_file and pattern:
             import tiktoken
@@ -75,9 +93,18 @@ class Vocabularies:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             if all(self.a_bytes[rank] == token for token, rank in ranks.items()):
                 self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.names = [f"{i}{sep}" for sep in (",", "|", ";", "") for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
 
-    def _encode_a(self, text: str) -> list[int]:
+    @cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.byte_file)
+        made.encode_special_tokens = True
+        made.no_padding()
+        made.no_truncation()
+        return made
+
+    def encode_a(self, text: str) -> list[int]:
         if self.quick and (text.isascii() or not _DISPUTED.search(text)):
             words = text.split()
             longest, letters = max(map(len, words), default=0), sum(map(len, words))
@@ -85,14 +112,15 @@ class Vocabularies:
                 return self.quick.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of a space and the text by A and of the text by B, packed; none if their bytes are not those."""
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and the text by A and of the text by B; none if their bytes are not those."""
+        none, kind = np.empty(0, self.sizes.ids), self.sizes.ids
         if not text:
-            return b"", b""
-        a, b = self._encode_a(" " + text), self.b.encode(text)
+            return none, none
+        a, b = self.encode_a(" " + text), self.b.encode(text)
         data = b" " + text.encode()
         same = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-        return (np.array(a, self.width).tobytes(), np.array(b, self.width).tobytes()) if same else (b"", b"")
+        return (np.array(a, kind), np.array(b, kind)) if same else (none, none)
 
 
 _vocabularies: dict[tuple, Vocabularies] = {}
@@ -107,34 +135,30 @@ def _vocabularies_of(files: tuple) -> Vocabularies:
 class Aligned:
     """Documents aligned side by side: each stretch between neighbouring token ends is one link of an A and a B token."""
 
-    def __init__(self, known: Vocabularies, a: list[bytes], b: list[bytes]):
-        self.known = known
-        self.a = np.frombuffer(b"".join(a), known.width).astype(np.int64)
-        self.b = np.frombuffer(b"".join(b), known.width).astype(np.int64)
-        self.n_a = np.array([len(x) // known.width.itemsize for x in a], dtype=np.int64)
-        self.n_b = np.array([len(x) // known.width.itemsize for x in b], dtype=np.int64)
-        a_ends, b_ends = np.cumsum(known.a_sizes[self.a]), np.cumsum(known.b_sizes[self.b])
+    def __init__(self, sizes: Sizes, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+        self.sizes, self.n_a, self.n_b = sizes, n_a, n_b
+        self.a, self.b = a.astype(np.int64), b.astype(np.int64)
+        a_ends, b_ends = np.cumsum(sizes.a[self.a]), np.cumsum(sizes.b[self.b])
         size = int(a_ends[-1]) + 1 if len(a_ends) else 1
         ends_a, ends_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         ends_a[a_ends], ends_b[b_ends] = True, True
         cuts = np.flatnonzero(ends_a | ends_b)
         at_a = (np.cumsum(ends_a) - ends_a)[cuts]
         at_b = (np.cumsum(ends_b) - ends_b)[cuts]
-        self.pairs = self.a[at_a] * len(known.b_bytes) + self.b[at_b]
+        self.pairs = self.a[at_a] * len(sizes.b) + self.b[at_b]
         both = ends_a & ends_b
-        self.group_ends = np.flatnonzero(both)
         before = np.cumsum(both) - both
         self.a_group, self.b_group = before[a_ends], before[b_ends]
-        doc_ends = np.concatenate(([0], a_ends))[np.cumsum(self.n_a)]
+        doc_ends = np.concatenate(([0], a_ends))[np.cumsum(n_a)]
         self.link_ends = np.searchsorted(cuts, doc_ends, side="right")
-        self.doc_groups = np.diff(np.searchsorted(self.group_ends, doc_ends, side="right"), prepend=0)
+        self.doc_groups = np.diff(np.searchsorted(np.flatnonzero(both), doc_ends, side="right"), prepend=0)
 
     def doc_of_link(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.link_ends)), np.diff(self.link_ends, prepend=0))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs and how many of these documents hold each."""
-        bits = (len(self.known.a_bytes) * len(self.known.b_bytes)).bit_length()
+        bits = (len(self.sizes.a) * len(self.sizes.b)).bit_length()
         in_doc = np.unique(self.doc_of_link() << bits | self.pairs)
         return np.unique(in_doc & ((1 << bits) - 1), return_counts=True)
 
@@ -144,12 +168,12 @@ class Aligned:
         key = np.concatenate((2 * self.a_group, 2 * self.b_group + 1))
         order = np.argsort(key, kind="stable")
         ids, key = ids[order], key[order]
-        sep = np.full(len(ids), 3)
-        sep[:-1] = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
+        mark = np.full(len(ids), 3)
+        mark[:-1] = np.where(key[1:] == key[:-1], 0, np.where(key[1:] >> 1 == key[:-1] >> 1, 1, 2))
         ends = np.cumsum(self.n_a + self.n_b)
-        sep[ends[ends > 0] - 1] = 3
-        codes = sep * (len(self.known.names) // 4) + ids
-        name, begins = self.known.names.__getitem__, [0, *ends.tolist()]
+        mark[ends[ends > 0] - 1] = 3
+        codes = mark * (len(self.sizes.names) // 4) + ids
+        name, begins = self.sizes.names.__getitem__, [0, *ends.tolist()]
         return ["".join(map(name, codes[x:y].tolist())) for x, y in zip(begins, begins[1:])]
 
 
@@ -203,9 +227,10 @@ class PerfectHash:
         )
 
 
-_ENCODED = "kind int, block long, shard int, doc_id long, a binary, b binary"
+_ENCODED = "kind int, block long, shard int, doc_ids array<long>, n_a array<int>, n_b array<int>, a binary, b binary"
 _ENCODED_ARROW = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]
+    [("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64()))]
+    + [("n_a", pa.list_(pa.int32())), ("n_b", pa.list_(pa.int32())), ("a", pa.binary()), ("b", pa.binary())]
 )
 _TEXTS, _PAIRS = 0, 1
 
@@ -214,104 +239,92 @@ def _shard_of(pairs: np.ndarray) -> np.ndarray:
     return (mix(pairs.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % SHARDS
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids by bytes, all first ones and then all second ones, which compress better, by zstandard."""
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys, place = np.unique(np.concatenate(pairs), return_inverse=True)
     return keys, np.bincount(place, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
 class _Block:
-    """About 16 MB of texts in a row: their ids, and their distinct pairs with the number of documents of each."""
+    """About 16 MB of ids: rows of documents of about 1 MB each, and the block's distinct pairs with their documents."""
 
-    def __init__(self, number: int, known: Vocabularies):
-        self.number, self.known, self.size = number, known, 0
-        self.open: list[tuple[bytes, bytes]] = []
+    def __init__(self, number: int, sizes: Sizes):
+        self.number, self.sizes, self.size = number, sizes, 0
+        self.open: list[tuple[int | None, np.ndarray, np.ndarray]] = []
         self.open_size = 0
         self.pairs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
-    def add(self, ids: tuple[bytes, bytes], size: int) -> None:
-        self.size += size
-        if ids[0]:
-            self.open.append(ids)
-            self.open_size += size
-            if self.open_size >= STEP_BYTES:
-                self.step()
-
-    def step(self) -> None:
-        if self.open:
-            a, b = zip(*self.open)
-            pairs, counts = Aligned(self.known, list(a), list(b)).distinct()
+    def add(self, doc_id: int | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+        self.open.append((doc_id, a, b))
+        size = a.nbytes + b.nbytes + ROW_BYTES
+        self.size, self.open_size = self.size + size, self.open_size + size
+        return self.step() if self.open_size >= STEP_BYTES else None
+
+    def step(self) -> pa.RecordBatch | None:
+        if not self.open:
+            return None
+        ids, a, b = zip(*self.open)
+        n_a, n_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            pairs, counts = Aligned(self.sizes, a, b, n_a, n_b).distinct()
             self.pairs.append(pairs)
             self.counts.append(counts)
-            self.open, self.open_size = [], 0
+        self.open, self.open_size = [], 0
+        row = [_TEXTS, self.number, None, list(ids), n_a, n_b, _packed(a), _packed(b)]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ENCODED_ARROW)], schema=_ENCODED_ARROW)
 
-    def rows(self) -> pa.RecordBatch | None:
-        self.step()
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if (row := self.step()) is not None:
+            yield row
         if not self.pairs:
-            return None
+            return
         pairs, counts = _merged(self.pairs, self.counts)
         shard = _shard_of(pairs)
         order = np.argsort(shard, kind="stable")
         pairs, counts, shard = pairs[order], counts[order], shard[order]
         names, begins = np.unique(shard, return_index=True)
-        ends = [*begins[1:].tolist(), len(shard)]
-        parts = [slice(x, y) for x, y in zip(begins.tolist(), ends)]
+        parts = [slice(x, y) for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)])]
         n = len(names)
-        columns = [
-            pa.array([_PAIRS] * n, pa.int32()),
-            pa.array([self.number] * n, pa.int64()),
-            pa.array(names, pa.int32()),
-            pa.nulls(n, pa.int64()),
-            pa.array([pairs[p].astype("<i8").tobytes() for p in parts], pa.binary()),
-            pa.array([counts[p].astype("<i8").tobytes() for p in parts], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, schema=_ENCODED_ARROW)
+        columns = {
+            "kind": [_PAIRS] * n,
+            "block": [self.number] * n,
+            "shard": names,
+            "a": [pairs[p].astype("<i8").tobytes() for p in parts],
+            "b": [counts[p].astype("<i8").tobytes() for p in parts],
+        }
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ENCODED_ARROW]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_ENCODED_ARROW)
 
 
 def _encoded(files: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = _vocabularies_of(files), TaskContext.get().partitionId() << 32
-        block = _Block(first, known)
+        block = _Block(first, known.sizes)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            out: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(ids, texts):
-                text = text.as_py()
-                packed = known.encode(text)
-                size = len(packed[0]) + len(packed[1]) + ROW_BYTES
-                out.append((block.number, doc_id, *packed))
-                held += size
-                block.add(packed, size)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                row = block.add(doc_id, *known.encode(text.as_py()))
+                if row is not None:
+                    yield row
                 if block.size >= BLOCK_BYTES:
-                    if (rows := block.rows()) is not None:
-                        yield rows
-                    block = _Block(block.number + 1, known)
-                if held >= BLOCK_BYTES:
-                    yield _text_rows(out)
-                    out, held = [], 0
-            if out:
-                yield _text_rows(out)
-        if (rows := block.rows()) is not None:
-            yield rows
+                    yield from block.rest()
+                    block = _Block(block.number + 1, known.sizes)
+        yield from block.rest()
 
     return run
 
 
-def _text_rows(rows: list[tuple]) -> pa.RecordBatch:
-    blocks, ids, a, b = zip(*rows)
-    n = len(rows)
-    columns = [
-        pa.array([_TEXTS] * n, pa.int32()),
-        pa.array(blocks, pa.int64()),
-        pa.nulls(n, pa.int32()),
-        pa.array(ids, pa.int64()),
-        pa.array(a, pa.binary()),
-        pa.array(b, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=_ENCODED_ARROW)
-
-
 def _longs(data: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, "<i8") for x in data]
 
@@ -399,16 +412,17 @@ _RESULT = pa.schema(
 )
 
 
-def _digested(files: tuple, best: np.ndarray):
-    def part(known: Vocabularies, ids: list, a: list[bytes], b: list[bytes], pairs: np.ndarray, totals: np.ndarray) -> pa.Table:
-        aligned = Aligned(known, a, b)
+def _digested(sizes: Sizes, best: np.ndarray):
+    def part(row: dict, pairs: np.ndarray, totals: np.ndarray) -> pa.Table:
+        a, b = (_unpacked(row[side], sizes.ids) for side in ("a", "b"))
+        aligned = Aligned(sizes, a, b, np.array(row["n_a"], dtype=np.int64), np.array(row["n_b"], dtype=np.int64))
         counts = totals[np.searchsorted(pairs, aligned.pairs)] if len(aligned.pairs) else np.zeros(0, dtype=np.int64)
-        is_best = counts == best[aligned.pairs // len(known.b_bytes)]
+        is_best = counts == best[aligned.pairs // len(sizes.b)]
         ends = aligned.link_ends
         sums, bests = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(is_best)))
         return _table(
             _RESULT,
-            doc_id=ids,
+            doc_id=row["doc_ids"],
             n_a=aligned.n_a,
             n_b=aligned.n_b,
             n_groups=aligned.doc_groups,
@@ -419,22 +433,13 @@ def _digested(files: tuple, best: np.ndarray):
         )
 
     def run(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        known = _vocabularies_of(files)
+        pairs = totals = np.zeros(0, dtype=np.int64)
         if replies.num_rows:
             pairs = np.concatenate(_longs(replies["pairs"].to_pylist()))
             totals = np.concatenate(_longs(replies["totals"].to_pylist()))
             order = np.argsort(pairs)
             pairs, totals = pairs[order], totals[order]
-        else:
-            pairs = totals = np.zeros(0, dtype=np.int64)
-        ids, a, b = (texts[c].to_pylist() for c in ("doc_id", "a", "b"))
-        parts, begin, size = [], 0, 0
-        for at in range(len(ids)):
-            size += len(a[at]) + len(b[at])
-            if size >= STEP_BYTES or at == len(ids) - 1:
-                step = slice(begin, at + 1)
-                parts.append(part(known, ids[step], a[step], b[step], pairs, totals))
-                begin, size = at + 1, 0
+        parts = [part(row, pairs, totals) for row in texts.to_pylist()]
         return pa.concat_tables(parts) if parts else _RESULT.empty_table()
 
     return run
@@ -454,7 +459,12 @@ def _tree(rows: DataFrame, parts: int, combine, schema: pa.Schema) -> DataFrame:
 
 
 def align(
-    docs: DataFrame, byte_file: str, piece_file: str, rank_file: str | None = None, pattern: str | None = None
+    docs: DataFrame,
+    byte_file: str,
+    piece_file: str,
+    rank_file: str | None = None,
+    pattern: str | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """How the tokens of tokenizer A and B cover each text of ``doc_id, text``, and how common their links are.
 
@@ -475,15 +485,16 @@ def align(
     Null and empty texts, and texts of which A's or B's bytes are not a space and the text (B may rewrite characters),
     have no tokens: zeros and empty groups. Rows that repeat, or share a ``doc_id``, are documents of their own, also in
     the counts; a null ``doc_id`` stays null. Other columns are not read, whatever they are called. No rows give none.
-    A text is aligned whole, which takes some 100 bytes of memory per byte of it.
+    A text is aligned whole, which takes some 100 bytes of memory per byte of it. The result is stored; ``derive`` is
+    applied before, for callers who want something shorter than the texts of the groups.
     """
     files = (byte_file, piece_file, rank_file, pattern)
     spark = docs.sparkSession
-    known = _vocabularies_of(files)
+    sizes = _vocabularies_of(files).sizes
     with Scratch(spark, "alignment") as work:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         encoded = work.keep(rows.mapInArrow(_encoded(files), _ENCODED), partition_by="kind")
-        texts = encoded.filter(F.col("kind") == _TEXTS).select("block", "doc_id", "a", "b")
+        texts = encoded.filter(F.col("kind") == _TEXTS).select("block", "doc_ids", "n_a", "n_b", "a", "b")
         parts = encoded.filter(F.col("kind") == _PAIRS).select(
             "shard", "block", F.col("a").alias("pairs"), F.col("b").alias("counts")
         )
@@ -502,9 +513,8 @@ def align(
         )
         totals = _tree(vectors, wide, _summed, _VECTORS)
         index = work.keep(index.join(totals.select("shard", "totals"), "shard"))
-        n_b = len(known.b_bytes)
-        highest = index.mapInArrow(_best_of_shard(n_b), "a long, best long").groupBy("a").agg(F.max("best").alias("best"))
-        best = np.zeros(len(known.a_bytes), dtype=np.int64)
+        highest = index.mapInArrow(_best_of_shard(len(sizes.b)), "a long, best long").groupBy("a").agg(F.max("best").alias("best"))
+        best = np.zeros(len(sizes.a), dtype=np.int64)
         for row in highest.collect():
             best[row.a] = row.best
         replies = (
@@ -512,5 +522,5 @@ def align(
             .cogroup(index.join(asked, "shard").groupBy("shard", "part"))
             .applyInArrow(_answered, _ddl(_REPLIES))
         )
-        found = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_digested(files, best), _ddl(_RESULT))
-        return stored(found, "alignment")
+        found = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_digested(sizes, best), _ddl(_RESULT))
+        return stored(derive(found) if derive else found, "alignment")

@@ -112,14 +112,14 @@ def alignment_digests(aligned: DataFrame) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(
+    return alignment.align(
         _table(spark, sf_dir, "documents"),
         public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
+        derive=alignment_digests,
     )
-    return alignment_digests(aligned)
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

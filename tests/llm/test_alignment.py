@@ -140,7 +140,7 @@ def test_query(spark, known):
 def test_digest_of_groups(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     aligned = {r.doc_id: r.groups for r in alignment.align(docs, A_FILE, B_FILE).collect()}
-    digests = {r.doc_id: r.groups_sha256 for r in queries.alignment_digests(alignment.align(docs, A_FILE, B_FILE)).collect()}
+    digests = {r.doc_id: r.groups_sha256 for r in alignment.align(docs, A_FILE, B_FILE, derive=queries.alignment_digests).collect()}
     assert digests == {1: hashlib.sha256(aligned[1].encode()).hexdigest(), 2: ""}
 
 
@@ -148,7 +148,7 @@ def test_digest_of_groups(spark):
 @given(st.text(max_size=60))
 def test_quick_library_gives_the_same_ids(text):
     known = _known()
-    assert known._encode_a(text) == known.a.encode(text, add_special_tokens=False).ids
+    assert known.encode_a(text) == known.a.encode(text, add_special_tokens=False).ids
 
 
 def _known(cache=[]):  # noqa: B006
@@ -161,7 +161,7 @@ def test_quick_library_on_all_texts(spark):
     known = _known()
     for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         text = " " + (row.text or "")
-        assert known._encode_a(text) == known.a.encode(text, add_special_tokens=False).ids
+        assert known.encode_a(text) == known.a.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1_000, 50_000])
