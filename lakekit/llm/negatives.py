@@ -297,7 +297,10 @@ def _mined(asks: DataFrame, trees: DataFrame, n_trees: int, same_label: bool, k:
     asked = asked.withColumn("least", F.when(F.col("kths").isNull(), F.col("least")).otherwise(raised)).drop("kths")
     asked = work.keep(asked)
 
-    waves, bundles = -(-asked.count() // WAVE_ANCHORS), -(-n_trees // BUNDLE_TREES)
+    n_asked, bundles = asked.count(), -(-n_trees // BUNDLE_TREES)
+    # Small tables still meet in as many groups as there are cores.
+    spread = min(n_asked, -(-2 * asks.sparkSession.sparkContext.defaultParallelism // bundles))
+    waves = max(-(-n_asked // WAVE_ANCHORS), spread)
     if n_trees < 2 or not waves:
         return _first(at_home, keys, k)
     wave, bundle = F.pmod(F.xxhash64("home", "place"), F.lit(waves)), F.pmod(F.xxhash64("tree"), F.lit(bundles))
