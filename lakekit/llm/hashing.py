@@ -1,7 +1,7 @@
 """Hashes of words and word windows of UTF-8 bytes, in whole-array operations.
 
-A hash of any byte or word range is the difference of two prefix sums of a polynomial modulo 2**64,
-brought to a common power by the inverse of the odd base, and then mixed.
+A word is the sum of one mixed value for each of its bytes and their place in it, a window is made of windows half as
+long, each step mixed again. Neither is a polynomial, so no regular text makes different words or windows agree.
 """
 
 from __future__ import annotations
@@ -11,23 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, size: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < size:
-        room = 1 << max(16, int(size).bit_length())
-        steps = np.full(room, base, dtype=np.uint64)
-        steps[0] = 1
-        table = _powers[base] = np.cumprod(steps)
-    return table[:size]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_ODD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -40,12 +25,6 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power_table(base, len(values)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power_table(_inverse(base), len(values) + 1)[starts])
-
-
 def is_space(data: np.ndarray) -> np.ndarray:
     """Where the bytes are one of the six ASCII white-space characters."""
     return (data == 32) | ((data >= 9) & (data <= 13))
@@ -67,7 +46,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     """One 64-bit value per word; ``which`` chooses one of two independent ones."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    return _ranges(data.astype(np.uint64) + np.uint64(1), _BYTE_BASES[which], starts, ends)
+    sizes = ends - starts
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = data[place + np.repeat(starts, sizes)].astype(np.uint64)
+    values = mix((place.astype(np.uint64) << np.uint64(8) | letters) + np.uint64(_SALTS[which]))
+    sums = np.add.reduceat(values, np.cumsum(sizes) - sizes)
+    return mix(sums + sizes.astype(np.uint64) * np.uint64(_ODD[which]))
 
 
 def window_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
@@ -75,8 +59,17 @@ def window_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     count = len(words) - length + 1
     if count <= 0:
         return np.empty(0, dtype=np.uint64)
-    at = np.arange(count)
-    return _ranges(words, _WORD_BASES[which], at, at + length)
+    odd = np.uint64(_ODD[which])
+    power, width = mix(words + np.uint64(_SALTS[which])), 1
+    whole, done = None, 0
+    while True:
+        if length & width:
+            part = power[done : done + count]
+            whole = part if whole is None else mix(whole * odd + part)
+            done += width
+        if done == length:
+            return whole
+        power, width = mix(power[:-width] * odd + power[width:]), 2 * width
 
 
 def shingles(data: np.ndarray, length: int) -> np.ndarray:

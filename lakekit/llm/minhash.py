@@ -28,7 +28,7 @@ _SEEDS = mix(np.arange(1, _MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _ODD = mix(_SEEDS) | np.uint64(1)
 _BLOCK = 2048
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, signature array<long>"
 
 
 def minima(values: np.ndarray) -> np.ndarray:
@@ -73,13 +73,14 @@ def _sign(words: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_key"),
                     pa.array(size, pa.int64()),
                     pa.array([d[0] for d in digest], pa.int64()),
                     pa.array([d[1] for d in digest], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(signature, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"],
+                ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "signature"],
             )
 
     return run
@@ -87,7 +88,7 @@ def _sign(words: int):
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Each row's set size, a 128-bit digest of its set, its band keys and its packed signature."""
-    return spread(docs.select("doc_id", "text")).mapInArrow(_sign(words), _SIGNED)
+    return spread(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))).mapInArrow(_sign(words), _SIGNED)
 
 
 def estimate(one: Column, other: Column) -> Column:
@@ -187,16 +188,50 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(place, "unlike", pa.array(rows, pa.list_(pa.int64()))).drop_columns(["often"])
 
 
+_OFTEN = "a long, often array<struct<slot:int,held:long>>"
+_OFTEN_ARROW = pa.schema([("a", pa.int64()), ("often", pa.list_(pa.struct([("slot", pa.int32()), ("held", pa.int64())])))])
+_HUBS = 1_024
+
+
+def _often(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    rows = []
+    for held in counts.values():
+        slots = np.flatnonzero(held)
+        rows.append([{"slot": slot, "held": n} for slot, n in zip(slots.tolist(), held[slots].tolist())])
+    return pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(rows, _OFTEN_ARROW.field("often").type)], _OFTEN_ARROW)
+
+
+def _slots_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each slot is held by a hub's rows in this task: at most ``SLOTS`` counts for each of its hubs."""
+    counts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for hub, unlike in zip(batch.column("a").to_pylist(), batch.column("unlike")):
+            if hub not in counts:
+                if len(counts) == _HUBS:
+                    yield _often(counts)
+                    counts = {}
+                counts[hub] = np.zeros(SLOTS, dtype=np.int64)
+            counts[hub] += np.bincount(unlike.values.to_numpy() % SLOTS, minlength=SLOTS)
+    if counts:
+        yield _often(counts)
+
+
+def _held_by_all(key: tuple, rows: pa.Table) -> pa.Table:
+    held = np.zeros(SLOTS, dtype=np.int64)
+    for often in rows["often"]:
+        held[often.values.field("slot").to_numpy()] += often.values.field("held").to_numpy()
+    return pa.Table.from_batches([_often({key[0].as_py(): held})])
+
+
 def _rare_first(relative: DataFrame, work: Scratch) -> DataFrame:
     """Each row's differing values in one order per hub, those that few of the hub's rows hold first.
 
     How often is counted per slot of values, a fixed number of slots per hub. Any order gives the same links; this
-    one makes few candidates, because what most rows lack of the hub comes last. The counts are written, so that the
-    join on a hub of many rows meets no aggregation and Spark can split it.
+    one makes few candidates, because what most rows lack of the hub comes last. Each task counts for itself, so values
+    are not shuffled. The counts are written, so that the join on a hub of many rows meets no aggregation and Spark can split it.
     """
-    slots = F.transform("unlike", lambda value: F.pmod(value, F.lit(SLOTS)).cast("int"))
-    held = relative.select("a", F.explode(slots).alias("slot")).groupBy("a", "slot").agg(F.count("*").alias("held"))
-    often = work.keep(held.groupBy("a").agg(F.collect_list(F.struct("slot", "held")).alias("often")))
+    partial = relative.select("a", "unlike").mapInArrow(_slots_held, _OFTEN)
+    often = work.keep(partial.groupBy("a").applyInArrow(_held_by_all, _OFTEN))
     return relative.join(often, "a").select("a", "b", "linked", "unlike", "need", "lack", "c", "often").mapInArrow(_ranked, _RANKED)
 
 
@@ -254,7 +289,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Two documents are linked if ``100 * intersection >= percent * union`` of their sets of distinct shingles of
     ``words`` words, ASCII letters in lower case. The steps:
 
-    1. Rows with the same set are one node, named by their smallest ``doc_id``; only nodes go on.
+    1. Rows with the same set are one node; only nodes go on. Rows of one ``doc_id`` with different sets are different
+       nodes, each with its own links, and join in the end.
     2. A node is posted under 32 band keys of 4 minima each. At a similarity of 0.85 the odds that a pair shares
        no band are 6e-11, at 0.8 they are 5e-8.
     3. Each node is compared with the one smallest node it shares most bands with. Most groups are joined by that.
@@ -269,26 +305,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Null or empty text, or only white space: an empty set, linked with nothing, ``component_id = doc_id``. A null
     ``doc_id``: linked with nothing, ``component_id`` null, kept. Rows with the same ``doc_id`` count as one
-    document and stay or go together. Other columns are not read. An empty table gives an empty result.
+    document, linked by any of their texts, and stay or go together. Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     with Scratch(spark, "minhash") as work:
         rows = work.keep(signatures(docs, words))
         filled = rows.filter("doc_id is not null and n_shingles > 0")
-        classes = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-        placed = work.keep(rows.drop("bands", "signature").join(classes, ["set_a", "set_b"], "left").drop("set_a", "set_b"))
-        heads = classes.select("node").distinct()
+        sets = ["set_a", "set_b"]
+        classes = filled.groupBy(*sets).agg(F.min("doc_id").alias("head"))
+        classes = work.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+        placed = rows.drop("bands", "signature", "text_key").join(classes, sets, "left").drop(*sets)
+        placed = work.keep(placed)
         nodes = work.keep(
-            filled.join(heads, filled.doc_id == heads.node)
-            .select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"), "bands")
+            filled.withColumnRenamed("doc_id", "head")
+            .join(classes, ["head", *sets])
+            .select("node", "head", "text_key", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"), "bands")
             .dropDuplicates(["node"])
         )
         posted = nodes.select("node", F.explode("bands").alias("key"))
         shared = posted.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1").drop("m")
         members = work.keep(posted.join(shared, "key"))
-        involved = members.select("node").distinct()
-        texts = docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi")
-        texts = work.keep(texts.dropDuplicates(["node"]))
+        involved = nodes.select("node", "head", "text_key").join(members.select("node").distinct(), "node", "left_semi")
+        texts = docs.select(F.col("doc_id").cast("long").alias("head"), F.xxhash64("text").alias("text_key"), "text")
+        texts = work.keep(texts.join(involved, ["head", "text_key"]).select("node", "text").dropDuplicates(["node"]))
 
         chosen = F.max_by("hub", F.struct(F.col("bands_shared"), -F.col("hub")))
         stars = (
@@ -331,10 +370,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
         pairs = work.keep(pairs.union(sharing).distinct().join(stars, ["a", "b"], "left_anti"))
         more = work.keep(_confirmed(pairs, nodes, texts, words, percent).union(by_hub))
-        final = components(links.union(more), work)
-        found = placed.join(final, "node", "left").select(
+        names = nodes.select("node", "head")
+        found = links.union(more)
+        for side in "ab":
+            found = found.join(names.withColumnsRenamed({"node": side, "head": f"head_{side}"}), side)
+        # rows of one doc_id are one document, whichever sets they have
+        several = placed.filter("head is not null").groupBy("doc_id").agg(F.min("head").alias("low"), F.max("head").alias("high"))
+        same = placed.join(several.filter("low != high").select("doc_id"), "doc_id").filter("head is not null")
+        joins = found.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+        joins = joins.union(same.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
+        final = components(joins, work).withColumnRenamed("node", "head")
+        found = placed.join(final, "head", "left").select(
             "doc_id",
             "n_shingles",
-            F.coalesce("component", "node", "doc_id").alias("component_id"),
+            F.coalesce("component", "head", "doc_id").alias("component_id"),
         )
         return stored(found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "minhash")

@@ -201,12 +201,15 @@ def _answers(sightings: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("twin", F.hash("text"))
+    """Rows with ``own_id``, their ``doc_id``, and a key of 96 bits of it and the text: ``doc_id`` and ``twin``."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("own_id"), F.xxhash64(own, "text").alias("doc_id"), "text", F.hash("text").alias("twin"))
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (docs["twin"] == places["twin"])
-    return docs.join(places, same, how).select(docs["doc_id"], docs["twin"], docs["text"], places["first"], places["last"])
+    same = (docs["doc_id"] == places["doc_id"]) & (docs["twin"] == places["twin"])
+    named = [docs["own_id"], docs["doc_id"], docs["twin"], docs["text"]]
+    return docs.join(places, same, how).select(*named, places["first"], places["last"])
 
 
 def repeated_windows(docs: DataFrame, window: int, work: Scratch, longest: int | None = None) -> DataFrame:
@@ -271,7 +274,7 @@ def _cut(window: int):
                 finishes.append(cut_last + 1)
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
+                    batch.column("own_id"),
                     batch.column("twin"),
                     pa.array(total, pa.int64()),
                     pa.array(gone, pa.int64()),
@@ -346,7 +349,7 @@ def cut_texts(docs: DataFrame, window: int = 35) -> DataFrame:
     with Scratch(docs.sparkSession, "substring") as work:
         places = stored(repeated_windows(docs, window, work), "substring-places")
     kept = [F.col(f"d.`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns)]
-    doc_id, twin = F.col("d.doc_id").cast("long"), F.hash("d.text")
-    same = doc_id.eqNullSafe(F.col("p.doc_id")) & (twin == F.col("p.twin"))
+    key, twin = F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")), F.hash("d.text")
+    same = (key == F.col("p.doc_id")) & (twin == F.col("p.twin"))
     rows = docs.alias("d").join(places.alias("p"), same, "left").select(*kept, F.col("p.first"), F.col("p.last"))
     return rows.mapInArrow(_replace(window, docs.columns), docs.schema)

@@ -1,10 +1,12 @@
 """Nulls, empty texts and tables, repeated rows and clashing columns, for each operator."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakekit.llm import minhash, mixing, packing, permutation, quality, queries, substring, tokens, toxicity, urls, warc
+from lakekit.llm import hashing, minhash, mixing, packing, permutation, quality, queries, substring, tokens, toxicity, urls, warc
 
 LONG = " ".join(f"w{i}" for i in range(60))
 DOCS = [(1, LONG), (2, LONG), (2, LONG), (None, "a b c"), (3, None), (4, ""), (5, " \n\t"), (6, "x " * 30_000)]
@@ -82,3 +84,67 @@ def test_loser_tree():
     line = lambda key: (key, "t", 1, "", "", 0, None, "f", 0, 1)
     runs = [[line(k) for k in keys] for keys in ("adg", "", "bbz", "c")]
     assert "".join(each[0] for each in warc.LoserTree(runs)) == "abbcdgz"
+
+
+def regular_words(size=1_024):
+    """Two different words that polynomials modulo 2**64 cannot tell apart: bit parities of places, and the opposite."""
+    return tuple("".join("ab"[(i.bit_count() + turn) % 2] for i in range(size)) for turn in (0, 1))
+
+
+def test_regular_words_and_windows_are_told_apart():
+    one, other = regular_words()
+    for which in (0, 1):
+        data = np.frombuffer(f"{one} {other} {one}".encode(), np.uint8)
+        words = hashing.word_hashes(data, *hashing.word_spans(data), which)
+        assert words[0] == words[2] != words[1]
+        pattern = np.array([i.bit_count() % 2 for i in range(2_048)])
+        texts = [words[:2][pattern], words[:2][1 - pattern]]
+        assert hashing.window_hashes(texts[0], 2_048, which)[0] != hashing.window_hashes(texts[1], 2_048, which)[0]
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 18, 35, 64])
+def test_equal_windows_have_equal_hashes(length):
+    words = np.random.default_rng(length).integers(0, 3, 400).astype(np.uint64)
+    found = hashing.window_hashes(words, length)
+    assert len(found) == 400 - length + 1
+    for (i, a), (j, b) in itertools.combinations(enumerate(found.tolist()), 2):
+        assert (a == b) == (words[i : i + length].tolist() == words[j : j + length].tolist())
+
+
+def test_regular_words_are_no_copies(spark):
+    one, other = regular_words()
+    docs = spark.createDataFrame([(1, f"q {one}"), (2, f"q {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in minhash.near_duplicates(docs, 3, 85).collect()} == {1: True, 2: True}
+    start = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{start} {one}"), (2, f"{start} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring.without_repeats(docs).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_one_id_with_several_texts_keeps_all_links(spark, turn):
+    """Each text of an id has its own links, whatever the order of the rows; together they join what they link."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(10, a), (20, b), (7, a + " more"), (7, b + " more"), (30, "something else than the others are"), (7, None)]
+    docs = spark.createDataFrame(rows[::-1] if turn else rows, "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert found == {(10, 7, False), (20, 7, False), (7, 7, True), (30, 30, True)}
+    chain = [(1, a), (5, a), (5, b), (9, b), (9, "one more text of this id"), (12, "one more text of this id")]
+    docs = spark.createDataFrame(chain, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == {1}
+
+
+def test_rows_whose_texts_hash_alike_are_told_apart(spark):
+    """Rows without an id whose 32-bit text hashes agree, one of them repeated elsewhere."""
+    seen, pair = {}, None
+    words = [f"w{i}" for i in range(36)]
+    texts = spark.range(400_000).select(F.concat_ws(" ", F.lit(" ".join(words[:35])), F.concat(F.lit("x"), "id")).alias("t"), "id")
+    for row in texts.select(F.hash("t").alias("h"), "id").toLocalIterator():
+        if row.h in seen:
+            pair = (seen[row.h], row.id)
+            break
+        seen[row.h] = row.id
+    assert pair
+    one, other = (" ".join([*words[:35], f"x{i}"]) for i in pair)
+    docs = spark.createDataFrame([(None, one), (None, other)], "doc_id long, text string")
+    keys = substring.keyed(docs).select("doc_id", "twin").collect()
+    assert keys[0].twin == keys[1].twin and keys[0].doc_id != keys[1].doc_id
