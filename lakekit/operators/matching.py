@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakekit.operators.skew import FAN_OUT, ROWS_PER_SALT, frequent, row_salt
+from lakekit.session import stored
+
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEY_ROWS = 1_000_000
-HOT_KEYS = 1_000
-FAN_OUT = 64
 
-_SALT = "_salt"
-_FAN = "_fan"
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "fits_broadcast", "match", "row_salt"]
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -29,16 +25,6 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return len(sizes) <= rows and sum(r.n or 0 for r in sizes) <= size
 
 
-def row_salt(df: DataFrame, fan_out: Column) -> Column:
-    """A number below ``fan_out`` for each row, the same whenever a task is repeated.
-
-    It hashes the whole row and the number of its partition: rows of a frequent key differ in
-    their other columns, and copies of one row differ in where they come from.
-    """
-    row = [F.col(f"`{c}`") for c in df.columns]
-    return F.pmod(F.xxhash64(*row, F.spark_partition_id()), fan_out).cast("int")
-
-
 def match(
     left: DataFrame,
     right: DataFrame,
@@ -46,7 +32,7 @@ def match(
     how: str,
     keep: dict[str, Column] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    hot_key_rows: int = HOT_KEY_ROWS,
+    hot_key_rows: int = ROWS_PER_SALT,
     fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """Semi, anti or left join to the distinct keys of ``right``; no left row is ever doubled.
@@ -55,10 +41,11 @@ def match(
     keys on the right match nothing. The right side is reduced to one row per key first, which
     Spark combines before its shuffle.
 
-    A proven small right side is broadcast. Beyond that both sides shuffle on the key, and only
-    keys that hold more than ``hot_key_rows`` left rows are spread over ``fan_out`` salts, with
-    the one right row of such a key repeated for each salt. The check and the search for such keys
-    read the sides once more, so a side that is costly to compute should be stored first.
+    A proven small right side is broadcast: one that is small as it stands, or once it is reduced
+    and stored. Beyond that both sides shuffle on the key. A sketch of the left keys, one pass over
+    their columns alone, tells which hold more than ``hot_key_rows`` rows; these are spread over a
+    salt for each so many rows, up to ``fan_out``, and the one right row of such a key is repeated
+    for each. The joined plan holds the left side once.
     """
     taken = set(keep or {}) & set(left.columns)
     if taken:
@@ -70,22 +57,8 @@ def match(
         unique = complete.select(*on).distinct()
     if fits_broadcast(complete if keep else complete.select(*on), broadcast_rows):
         return left.join(F.broadcast(unique), on, how)
-    # The most frequent keys only: whatever ranks below 1,000 holds under a thousandth of the rows.
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_key_rows)
-        .orderBy(F.col("_n").desc(), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.lit(fan_out).alias(_FAN))
-    )
-    fan = F.coalesce(F.col(_FAN), F.lit(1))
-    # Rows with an incomplete key match nothing, so any salt will do.
-    left_fan = F.when(reduce(or_, [F.col(f"`{c}`").isNull() for c in on]), fan_out).otherwise(fan)
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(_SALT, row_salt(left, left_fan)).drop(_FAN)
-    repeated = (
-        unique.join(F.broadcast(hot), on, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop(_FAN)
-    )
-    return spread.join(repeated, [*on, _SALT], how).drop(_SALT)
+    unique = stored(unique, "keys")
+    if fits_broadcast(unique, broadcast_rows):
+        return left.join(F.broadcast(unique), on, how)
+    fans = frequent(left, on, hot_key_rows, fan_out)
+    return fans.spread(left).join(fans.repeat(unique), [*on, "_salt"], how).drop("_salt")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakekit.operators.matching import fits_broadcast, match, row_salt
+from lakekit.operators.skew import frequent
 
 WAYS = {
     "broadcast": {},
@@ -64,3 +65,29 @@ def test_incomplete_keys_on_the_left_are_spread_and_kept(spark):
     right = spark.range(2).select(F.col("id").alias("k"))
     for how, rows in (("left", 200), ("left_anti", 198), ("left_semi", 2)):
         assert match(left, right, ["k"], how, broadcast_rows=0).count() == rows
+
+
+def test_a_hot_key_and_thousands_of_warm_ones_are_spread(spark):
+    """One key has a sixth of the rows, 10,000 warm ones share two thirds, the rest is cold; the share decides the salts."""
+    n = F.col("id")
+    key = F.when(n % 6 == 0, F.lit(-1)).when(n % 6 < 5, n % 10_000).otherwise(n + 1_000_000)
+    left = spark.range(0, 900_000, 1, 8).select(key.alias("k"), n.alias("v"))
+    fans = frequent(left, ["k"], rows_per_salt=20)
+    # a salt takes 54 rows, a 16,384th of them all; a warm key has 60
+    assert fans.incomplete == 1 and len(fans.keys) == 10_001
+    assert max(fans.keys.values()) == 2_778 and sorted(fans.keys.values())[-2] == 2
+    salts = fans.spread(left).groupBy("k", "_salt").count()
+    assert salts.agg(F.max("count")).first()[0] < 200
+    right = spark.range(-1, 12_000).select(F.col("id").alias("k"))
+    joined = match(left, right, ["k"], "left_semi", broadcast_rows=0, hot_key_rows=20)
+    assert joined.count() == left.filter("k < 12000").count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 900000") == 1
+
+
+def test_incomplete_keys_take_salts_by_their_share(spark):
+    left = spark.range(1_000).select(F.when(F.col("id") < 100, F.col("id")).alias("k"), F.lit(1).alias("j"), "id")
+    fans = frequent(left, ["k", "j"], rows_per_salt=90)
+    assert (fans.keys, fans.incomplete) == ({}, 10)
+    assert fans.spread(left).select("_salt").distinct().count() == 10
+    assert frequent(left.limit(0), ["k"]).keys == {}
