@@ -3,6 +3,7 @@
 Occurrences have item_type, rel_path, id and context (the stripped line). Rules come from
 ``normalise_rules``. "Not covered by any rule" is "by no literal rule" and then "by no pattern
 rule", so two anti-joins follow one another: a hash join, and a search over what it leaves.
+Many pattern rules are searched through an index of what their matches and paths must hold.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakekit.functions.paths import glob_to_regex
-from lakekit.operators.matching import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, row_salt
+from lakekit.operators.matching import fits_broadcast
+from lakekit.operators.rule_index import row_keys, rule_index
+from lakekit.operators.skew import frequent
 from lakekit.session import stored
 
-LITERAL_SALTS = 16
 INLINE_RULES = 64
+STORED_AFTER = 16
 
 
 def _java_pattern(written: Column) -> Column:
@@ -84,21 +87,23 @@ def _agree(by: list[str] | None) -> tuple[list[Column], Column]:
     return renamed, reduce(and_, [F.col(c) == F.col(f"_rule_{c}") for c in by or []], F.lit(True))
 
 
-def uncovered_by_literals(
-    occurrences: DataFrame, compiled: DataFrame, by: list[str] | None = None, salts: int = LITERAL_SALTS
-) -> DataFrame:
+def uncovered_by_literals(occurrences: DataFrame, compiled: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Occurrences whose id no literal rule in scope names, compared case by case.
 
-    One id may make up much of the corpus, so occurrences of an id are spread over salts. Rules
-    are repeated per salt: they are one row each, and far fewer than what they are held against.
+    A proven small rule table is broadcast. Beyond that both sides shuffle on the id. The occurrences
+    are stored, as they come out of texts; a sketch over their ids tells the frequent ones, which are
+    spread over salts by their share, and the rules of such an id are repeated per salt.
     """
     renamed, agree = _agree(by)
     literals = compiled.filter(~F.col("is_regex")).select(*renamed, "find_value", "item_types", "path_regexes")
     scope = agree & in_scope(F.col("item_type"), F.col("rel_path"))
     if fits_broadcast(literals):
         return occurrences.join(F.broadcast(literals), (F.col("id") == F.col("find_value")) & scope, "left_anti")
-    spread = occurrences.withColumn("_salt", row_salt(occurrences, F.lit(salts)))
-    repeated = literals.distinct().withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    occurrences = stored(occurrences, "occurrences")
+    fans = frequent(occurrences, ["id"])
+    spread = fans.spread(occurrences)
+    repeated = fans.repeat(literals.distinct().withColumnRenamed("find_value", "id"), "_rule_salt")
+    repeated = repeated.withColumnRenamed("id", "find_value")
     same = (F.col("id") == F.col("find_value")) & (F.col("_salt") == F.col("_rule_salt"))
     return spread.join(repeated, same & scope, "left_anti").drop("_salt")
 
@@ -110,22 +115,65 @@ def uncovered_by_patterns(
 
     Only the first match of a pattern on the line counts: with a group, group 1 must be the id,
     without one the match must hold it. A few rules become constant expressions, so each pattern
-    is compiled once per task. More rules are broadcast, in as many parts of a checked size as
-    they need; each part is an anti-join over what the parts before it left.
+    is compiled once per task. More rules are indexed by what their matches or paths must hold, and
+    an occurrence is searched only by the rules it shares a key with. Rules without a key, such as
+    a pattern of classes alone, become constants in as many filters as they need.
     """
-    renamed, agree = _agree(by)
-    patterns = compiled.filter("is_regex").select(*renamed, "pattern", "group_no", "item_types", "path_regexes")
+    renamed, _ = _agree(by)
+    patterns = compiled.filter("is_regex").select(
+        *renamed, "pattern", "group_no", "item_types", "path_regexes", "file_paths"
+    )
     few = patterns.take(inline + 1)
     if not few:
         return occurrences
     if len(few) <= inline:
-        return occurrences.filter(~reduce(or_, [_covered_by(rule, by or []) for rule in few]))
+        return occurrences.filter(~_covered_by_any(few, by))
+    numbered = patterns.distinct().withColumn("rule_no", F.monotonically_increasing_id())
+    rules = stored(numbered, "patterns")
+    index = stored(rule_index(rules), "rule-index")
+    left = _uncovered_by_index(occurrences, rules, index, by)
+    size, chunks, chunk = max(1, INLINE_RULES), 0, []
+    for rule in rules.join(index, "rule_no", "left_anti").toLocalIterator():
+        chunk.append(rule)
+        if len(chunk) == size:
+            left, chunks, chunk = left.filter(~_covered_by_any(chunk, by)), chunks + 1, []
+            if chunks % STORED_AFTER == 0:
+                left = stored(left, "uncovered")
+    return left.filter(~_covered_by_any(chunk, by)) if chunk else left
+
+
+def _uncovered_by_index(occurrences: DataFrame, rules: DataFrame, index: DataFrame, by: list[str] | None) -> DataFrame:
+    """Occurrences that no indexed rule covers: found by key, searched, and left out by their number."""
+    kinds = [row.kind for row in index.select("kind").distinct().orderBy("kind").collect()]
+    if not kinds:
+        return occurrences
+    folders = index.filter(F.col("kind") == "folder").select(F.char_length("key").alias("n")).distinct().orderBy("n")
+    lengths = [row.n for row in folders.collect()]  # at most the length of the longest path
+    rows = stored(occurrences.withColumn("_row", F.monotonically_increasing_id()), "occurrences")
+    keys = F.explode(row_keys(kinds, lengths, F.col("context"), F.col("rel_path"))).alias("_key")
+    covers = _agree(by)[1] & in_scope(F.col("item_type"), F.col("rel_path")) & _covers()
+    searched = ["_row", "id", "context", "item_type", "rel_path", *(by or [])]
+    known = rules.join(index, "rule_no")
+    if fits_broadcast(known):
+        probes = rows.select(*searched, keys).select(*searched, "_key.kind", "_key.key")
+        hits = probes.join(F.broadcast(known), ["kind", "key"]).filter(covers)
+    else:
+        # Only numbers and keys are shuffled here; a frequent key is spread over salts by its share.
+        probes = stored(rows.select("_row", keys).select("_row", "_key.kind", "_key.key"), "row-keys")
+        fans = frequent(probes, ["kind", "key"])
+        met = fans.spread(probes).join(fans.repeat(index), ["kind", "key", "_salt"]).select("_row", "rule_no").distinct()
+        hits = met.join(rows.select(*searched), "_row").join(rules, "rule_no").filter(covers)
+    return rows.join(hits.select("_row").distinct(), "_row", "left_anti").drop("_row")
+
+
+def _covers() -> Column:
+    """Whether the first match of the rule beside an occurrence covers its id."""
     found = F.call_function("regexp_extract", F.col("context"), F.col("pattern"), F.col("group_no"))
-    covers = F.when(F.col("group_no") == 1, found == F.col("id")).otherwise(F.contains(found, F.col("id")))
-    condition = agree & in_scope(F.col("item_type"), F.col("rel_path")) & covers
-    for part in _bounded_parts(stored(patterns.distinct(), "patterns")):
-        occurrences = occurrences.join(F.broadcast(part), condition, "left_anti")
-    return occurrences
+    return F.when(F.col("group_no") == 1, found == F.col("id")).otherwise(F.contains(found, F.col("id")))
+
+
+def _covered_by_any(rules: list[Row], by: list[str] | None) -> Column:
+    return reduce(or_, [_covered_by(rule, by or []) for rule in rules])
 
 
 def _covered_by(rule: Row, by: list[str]) -> Column:
@@ -140,23 +188,7 @@ def _covered_by(rule: Row, by: list[str]) -> Column:
     return F.coalesce(reduce(and_, tests), F.lit(False))
 
 
-def _bounded_parts(patterns: DataFrame) -> list[DataFrame]:
-    """A rule table cut into parts that each pass the broadcast check."""
-    width = F.octet_length(F.to_json(F.struct(*patterns.columns)))
-    measures = [F.count("*").alias("rows"), F.sum(width).alias("bytes")]
-    total = patterns.agg(*measures).first()
-    parts = 1 + max(total.rows // BROADCAST_ROWS, total.bytes // BROADCAST_BYTES)
-    while parts <= total.rows:
-        part_no = F.pmod(F.xxhash64(*patterns.columns), F.lit(parts))
-        sizes = patterns.groupBy(part_no.alias("part")).agg(*measures)
-        largest = sizes.agg(F.max("rows").alias("rows"), F.max("bytes").alias("bytes")).first()
-        if largest.rows <= BROADCAST_ROWS and largest.bytes <= BROADCAST_BYTES:
-            return [patterns.filter(part_no == i) for i in range(parts)]
-        parts *= 2
-    raise ValueError("a single rule is too large to broadcast")
-
-
 def uncovered(occurrences: DataFrame, rules: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Occurrences that no rule covers at all; ``by`` names columns a rule and what it covers share."""
-    compiled = compile_rules(rules, keep=by)
+    compiled = stored(compile_rules(rules, keep=[*(by or []), "file_paths"]), "compiled-rules")
     return uncovered_by_patterns(uncovered_by_literals(occurrences, compiled, by), compiled, by)

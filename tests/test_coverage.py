@@ -55,15 +55,13 @@ def tables(spark):
     )
 
 
-@pytest.fixture(params=["constants", "broadcast", "parts", "salted"])
+@pytest.fixture(params=["constants", "indexed", "shuffled"])
 def way(request, monkeypatch):
     """The ways a rule table may be held against the occurrences, by its size."""
     if request.param != "constants":
         monkeypatch.setattr(coverage, "INLINE_RULES", 0)
         monkeypatch.setattr(uncovered_by_patterns, "__defaults__", (None, 0))
-    if request.param == "parts":
-        monkeypatch.setattr(coverage, "BROADCAST_ROWS", 8)
-    if request.param == "salted":
+    if request.param == "shuffled":
         monkeypatch.setattr(coverage, "fits_broadcast", lambda df: False)
     return request.param
 
