@@ -1,16 +1,22 @@
 """Identifier extraction from texts, line by line.
 
-Everything happens inside the row that holds the text, so no extraction shuffles and no text is
+Extraction happens inside the row that holds the text, so it does not shuffle and no text is
 gathered with another. Only lines that carry an identifier leave the row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakekit.constants import (
     BLOCK_END,
@@ -23,6 +29,7 @@ from lakekit.constants import (
     NOTEBOOK_FIELDS,
 )
 from lakekit.functions.text import split_lines, strip_space
+from lakekit.session import stored
 
 
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -89,31 +96,65 @@ def block_rows(
     position: str,
     opens: Column,
     closes: Column,
-    chunk: int = 100_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The same state for tables whose rows are the lines, adding ``inside``.
 
-    A group may be larger than a task can hold, so it is cut into chunks of ``chunk`` positions.
-    Each chunk is scanned by itself, and the state it starts with comes from a running pass over
-    one row per chunk.
+    Rows are ranged over partitions by group and position, so a group of any size, with any gaps, takes
+    as many partitions as its rows ask for. Each partition is scanned in order by itself. What one carries
+    into the next is the state of its last group, one row per partition: a running pass over these gives
+    each partition the state that its first group starts with. Rows that share a position are taken in the
+    order: neither, closing, opening.
     """
-    place = F.col(position)
-    flagged = df.withColumn("_turn", F.when(opens, True).when(closes, False)).withColumn(
-        "_chunk", place - F.pmod(place, F.lit(chunk))
+    order = [*group, position, "_turn"]
+    flagged = df.withColumn("_turn", F.when(opens, True).when(closes, False))
+    # The range bounds are found by a sample, so the rows are read twice before their one shuffle.
+    ranged = flagged.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    place = F.struct(*[F.col(f"`{c}`") for c in group]) if group else F.struct(F.lit(0).alias("all"))
+    named = ranged.withColumn("_group", F.to_json(place, {"ignoreNullFields": "false"}))
+    more = [("_part", T.IntegerType()), ("_at", T.LongType()), ("_state", T.BooleanType())]
+    schema = T.StructType([*named.schema.fields, *[T.StructField(name, kind) for name, kind in more]])
+    scanned = stored(named.mapInArrow(_scan, schema), "block-rows")
+
+    tails = scanned.groupBy("_part").agg(
+        F.min_by("_group", "_at").alias("_first"),
+        F.max_by("_group", "_at").alias("_group"),
+        F.max_by("_state", "_at").alias("_end"),
     )
-    keys = [*group, "_chunk"]
-    last_turn = F.max_by(F.col("_turn"), F.when(F.col("_turn").isNotNull(), place))
-    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    entry = (
-        flagged.groupBy(*keys)
-        .agg(last_turn.alias("_last"))
-        .select(*[F.col(k).alias(f"_entry_{k}") for k in keys], F.last("_last", ignorenulls=True).over(before).alias("_entry"))
+    ends = F.last("_end", ignorenulls=True).over(Window.partitionBy("_group").orderBy("_part"))
+    entry = tails.withColumn("_end", ends).withColumn(
+        "_before", F.lag(F.struct("_group", "_end")).over(Window.orderBy("_part"))
     )
-    so_far = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scanned = flagged.withColumn("_state", F.last("_turn", ignorenulls=True).over(so_far))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_entry_{k}")) for k in keys])
-    inside = F.coalesce("_state", "_entry", F.lit(False)).alias("inside")
-    return scanned.join(entry, same, "left").select(*df.columns, inside)
+    same = F.col("_before._group") == F.col("_first")
+    entry = entry.select("_part", F.col("_first").alias("_group"), F.when(same, F.col("_before._end")).alias("_entry"))
+    # One row per partition of the shuffle above, so it is small whatever the table's size.
+    carried = F.broadcast(stored(entry.filter("_entry is not null"), "block-carry"))
+    joined = scanned.join(carried, ["_part", "_group"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_state", "_entry", F.lit(False)).alias("inside"))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with their partition, their number in it and the state that their own group has reached in it."""
+    part, at, group, state = TaskContext.get().partitionId(), 0, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("_group")
+        turns = np.asarray(batch.column("_turn").cast(pa.int8()).fill_null(-1))
+        changed = np.concatenate(([names[0].as_py() != group], np.asarray(pc.not_equal(names[1:], names[:-1]))))
+        rows = np.arange(len(turns))
+        begun = np.maximum.accumulate(np.where(changed, rows, -1))
+        turned = np.maximum.accumulate(np.where(turns >= 0, rows, -1))
+        own = (turned >= begun) & (turned >= 0)
+        reached = np.where(own, turns[np.maximum(turned, 0)], -1)
+        if state is not None:
+            # up to the first change the rows still belong to the group of the batch before
+            reached = np.where((begun < 0) & (turned < 0), int(state), reached)
+        columns = [pa.array([part] * len(rows), pa.int32()), pa.array(at + rows, pa.int64())]
+        columns.append(pa.array(reached == 1, pa.bool_(), mask=reached < 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_part", "_at", "_state"])
+        at, group = at + len(rows), names[-1].as_py()
+        state = None if reached[-1] < 0 else bool(reached[-1])
 
 
 def named_ids(

@@ -83,10 +83,46 @@ def test_block_rows_agree_with_a_plain_walk(spark):
     # One group holds most rows, and chunks are far smaller than it.
     data = [(rng.choice(["h", "h", "h", "a", None]), at, rng.choice(["open", "close", "", "", ""])) for at in range(3000)]
     df = spark.createDataFrame(data, "g string, at int, kind string").repartition(7)
-    got = block_rows(df, ["g"], "at", F.col("kind") == "open", F.col("kind") == "close", chunk=100)
+    got = block_rows(df, ["g"], "at", F.col("kind") == "open", F.col("kind") == "close", partitions=30)
     state, expected = {}, {}
     for group, at, kind in data:
         if kind:
             state[group] = kind == "open"
         expected[at] = state.get(group, False)
     assert {r["at"]: r.inside for r in got.collect()} == expected
+
+
+def test_sparse_positions_carry_one_row_per_partition(spark, monkeypatch):
+    """Time stamps in microseconds with wide gaps, several group columns, partitions without any turn."""
+    from lakekit.operators import extract
+
+    rng = random.Random(3)
+    data, at = [], 0
+    for _ in range(2000):
+        at += rng.choice([1, 10**6, 10**12])
+        kind = rng.choice(["open", "close"]) if rng.random() < 0.01 else ""
+        data.append((rng.choice([1, 2]), rng.choice(["x", "x", "x", None]), at, kind, "more"))
+    df = spark.createDataFrame(data, "a int, b string, at long, kind string, line string").repartition(5)
+    written = {}
+    plain = extract.stored
+    monkeypatch.setattr(extract, "stored", lambda rows, label: written.setdefault(label, plain(rows, label)))
+    got = block_rows(df, ["a", "b"], "at", F.col("kind") == "open", F.col("kind") == "close", partitions=40)
+    state, expected = {}, {}
+    for a, b, at, kind, _ in data:
+        if kind:
+            state[a, b] = kind == "open"
+        expected[at] = state.get((a, b), False)
+    assert got.columns == [*df.columns, "inside"]
+    assert {r["at"]: r.inside for r in got.collect()} == expected
+    assert written["block-carry"].count() <= 40
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    assert block_rows(df.limit(0), ["a"], "at", F.col("kind") == "open", F.lit(False)).count() == 0
+    whole = block_rows(df, [], "at", F.col("kind") == "open", F.col("kind") == "close")
+    assert whole.count() == 2000
+
+
+def test_rows_that_share_a_position_close_before_they_open(spark):
+    df = spark.createDataFrame([("g", 1, "open"), ("g", 1, "close"), ("g", 1, ""), ("g", 2, "")], "g string, at int, kind string")
+    got = block_rows(df, ["g"], "at", F.col("kind") == "open", F.col("kind") == "close")
+    assert sorted((r["at"], r.kind, r.inside) for r in got.collect()) == [(1, "", False), (1, "close", False), (1, "open", True), (2, "", True)]
