@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +16,63 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _plain_root(root: str) -> str:
+def split_root(root: str) -> tuple[str, str]:
+    """The store a root is in, as far as it names one, and the path in it."""
     scheme, found, rest = root.partition(":")
     if not found or "/" in scheme:
-        return root
-    return "/" + rest[2:].partition("/")[2] if rest.startswith("//") else rest
+        return "", root
+    if not rest.startswith("//"):
+        return f"{scheme}:", rest
+    authority, _, path = rest[2:].partition("/")
+    return f"{scheme}://{authority}", f"/{path}"
+
 
+def _plain_root(root: str) -> str:
+    return split_root(root)[1]
 
-def _as_glob(name: str) -> str:
-    """A folder name for the reader, which takes brackets and the like for wildcards."""
+
+def as_glob(name: str) -> str:
+    """A name for the reader, which takes brackets and the like for wildcards."""
     return re.sub(r"([\[\]{}*?,\\])", r"\\\1", name)
 
 
+def files_at(spark: SparkSession, *paths: str, names: str | None = None, below: bool = False) -> DataFrame:
+    """Files by their paths or globs, or with ``below`` all files of these names under the folders, as Spark reads them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(below).lower())
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    return reader.load(list(paths)).withColumn("path", _plain_path(F.col("path")))
+
+
+def _listed(spark: SparkSession, glob: str) -> Sequence:
+    """What a glob names, as the store's own client answers; hidden names count too."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+
+
+def hidden_folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders below a root whose name begins with ``_`` or ``.``, at any depth.
+
+    Spark's listing passes over such folders, unless one is a root by itself. They are found by globs, one for
+    each depth, which the store's own client answers; only their names reach the driver.
+    """
+    found, above = [], as_glob(root.rstrip("/"))
+    while len(_listed(spark, f"{above}/*")):
+        folders = [status.getPath() for status in _listed(spark, f"{above}/{{_*,.*}}") if status.isDirectory()]
+        found += [path.toString() for path in folders if _is_hidden(path.getName())]
+        above += "/*"
+    return found
+
+
+def _is_hidden(name: str) -> bool:
+    """Spark's own rule: a leading underscore may still begin a partition's folder or a metadata file."""
+    kept = "=" in name or name.startswith(("_metadata", "_common_metadata"))
+    return name.startswith(".") or (name.startswith("_") and not kept)
+
+
 def _files(spark: SparkSession, root: str, names: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", names)
-        .load(root)
-        .withColumn("path", _plain_path(F.col("path")))
-    )
+    folders = [root.rstrip("/"), *hidden_folders(spark, root)]
+    return files_at(spark, *[as_glob(folder) for folder in folders], names=names, below=True)
 
 
 def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit: str | None = None) -> DataFrame:
@@ -42,11 +80,12 @@ def read_corpus(spark: SparkSession, root: str, names: str = CORPUS_GLOB, unit:
 
     Columns: unit (folder below the root), rel_path (below the unit), file (from the root's own
     name on), name, item_type, item_name, text. Files on the skip list, files outside a typed folder, and
-    files that are not valid UTF-8 give no row.
+    files that are not valid UTF-8 give no row. Folders may have any name, also one that Spark takes
+    for hidden; files whose own name begins with ``_`` or ``.`` are out of its reader's reach.
     """
     base = _plain_root(root).rstrip("/")
     below = relative_to(F.col("path"), base)
-    folder = root if unit is None else f"{root.rstrip('/')}/{_as_glob(unit)}"
+    folder = root if unit is None else f"{root.rstrip('/')}/{unit}"
     return (
         _files(spark, folder, names)
         .withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
@@ -76,11 +115,7 @@ def read_tree(spark: SparkSession, root: str, names: str) -> DataFrame:
 
 
 def config_files(spark: SparkSession, root: str, name: str = UNIT_CONFIG_FILE) -> DataFrame:
-    """The units whose own folder holds a file of the given name. Only the listing is read."""
-    below = relative_to(F.col("path"), _plain_root(root))
-    return (
-        _files(spark, root, name)
-        .select(F.split(below, "/").alias("_parts"))
-        .filter(F.size("_parts") == 2)
-        .select(F.get("_parts", F.lit(0)).alias("unit"))
-    )
+    """The units whose own folder holds a file of the given name, be it empty. Only that depth is listed, no file is read."""
+    found = _listed(spark, f"{as_glob(root.rstrip('/'))}/*/{as_glob(name)}")
+    units = [(status.getPath().getParent().getName(),) for status in found if status.isFile()]
+    return spark.createDataFrame(units, "unit string")

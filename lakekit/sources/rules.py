@@ -29,6 +29,56 @@ def list_of(df: DataFrame, column: str) -> Column:
     return F.coalesce(entries, F.array().cast("array<string>"))
 
 
+def _texts(value: Column) -> Column:
+    """A variant's entries as texts: of a list all, of a text itself; other kinds of value count as absent."""
+    kind = F.schema_of_variant(value)
+    entries = F.try_variant_get(value, "$", "array<variant>")
+    shown = F.transform(entries, _shown)
+    return F.when(kind == "STRING", F.array(_shown(value))).when(F.startswith(kind, F.lit("ARRAY")), shown)
+
+
+def _shown(value: Column) -> Column:
+    """A scalar variant as the text that rules compare: null as ``None``, truth values capitalised."""
+    text = F.try_variant_get(value, "$", "string")
+    truth = F.schema_of_variant(value) == "BOOLEAN"
+    return F.when(value.isNull() | F.is_variant_null(value), "None").when(truth, F.initcap(text)).otherwise(text)
+
+
+def rules_of_content(files: DataFrame) -> DataFrame:
+    """Rule files with ``content`` (JSON) as columns: extend, find_replace (rule structs), reason.
+
+    Here, and only here, the kinds of values a file may hold are told apart: a scalar or a list, a rule or
+    something else, a value that is missing or null. A file that holds no mapping gets a reason.
+    """
+    parsed = files.withColumn("_c", F.try_parse_json("content"))
+    mapping = F.coalesce(F.startswith(F.schema_of_variant("_c"), F.lit("OBJECT")), F.lit(False))
+
+    def part(value: Column, name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "variant")
+
+    def rule(entry: Column) -> Column:
+        find, flag, values = part(entry, "find_value"), part(entry, "is_regex"), part(entry, "replace_value")
+        replacements = F.try_variant_get(values, "$", "map<string, variant>")
+        return F.struct(
+            F.when(find.isNull(), "").otherwise(_shown(find)).alias("find_value"),
+            F.when(flag.isNull(), "false").otherwise(_shown(flag)).alias("is_regex"),
+            _texts(part(entry, "item_type")).alias("item_type"),
+            _texts(part(entry, "file_path")).alias("file_path"),
+            _texts(part(entry, "item_name")).alias("item_name"),
+            F.coalesce(F.transform_values(replacements, lambda _, v: _shown(v)), F.create_map().cast("map<string,string>")).alias("replace_value"),
+        )
+
+    entries = F.try_variant_get(part(F.col("_c"), "find_replace"), "$", "array<variant>")
+    rules = F.filter(entries, lambda e: F.startswith(F.schema_of_variant(e), F.lit("OBJECT")))
+    none = F.array().cast("array<string>")
+    return parsed.select(
+        "source_file",
+        F.coalesce(_texts(part(F.col("_c"), "extend")), none).alias("extend"),
+        F.transform(F.coalesce(rules, F.array().cast("array<variant>")), rule).alias("find_replace"),
+        F.coalesce("reason", F.when(~mapping, "holds no mapping")).alias("reason"),
+    )
+
+
 def first_visits(rows: DataFrame) -> DataFrame:
     """The rows of each source file's first visit: a file reached again, by the same unit, adds nothing."""
     file_key = [c for c in ["unit", "source_file"] if c in rows.columns]

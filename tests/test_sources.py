@@ -16,7 +16,8 @@ from lakekit.sources import (
     read_table,
     read_unit_rules,
 )
-from lakekit.sources.corpus import config_files
+from lakekit.sources.corpus import config_files, hidden_folders
+from lakekit.sources.rule_files import reached_rule_files
 
 G = "11111111-aaaa-4bbb-8ccc-000000000001"
 RULES = "source_file string, visit_no int, rule_no int, find_value string, is_regex string, item_type string, file_path string"
@@ -208,3 +209,58 @@ def test_rule_files_are_parsed(spark, tmp_path):
         ("u", "None", True, ["A", "B"], ["**/x"], {"_ALL_": "$workspace.id"}),
         ("u", "x", False, [], [], {}),
     ]
+
+
+def written(root, files):
+    for name, content in files.items():
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+def test_folders_that_spark_hides_are_scanned(spark, tmp_path, as_rows):
+    root = tmp_path / "units [1]"
+    files = ["u/a.Notebook/x.json", "u/_old/x.CopyJob/c.json", "_v/.b/_c/d.Report/e.json", "u/_k=v/x.CopyJob/c.json", "u/_old/_older/y.Report/c.json"]
+    written(root, {name: "{}" for name in files} | {"u/config.yml": "", "_v/config.yml": "", "u/a/config.yml": ""})
+    assert as_rows(read_corpus(spark, str(root)).select(F.concat_ws("/", "unit", "rel_path"))) == sorted((f,) for f in files)
+    one = read_corpus(spark, root.as_uri().replace("%5B", "[").replace("%5D", "]").replace("%20", " "), unit="_v")
+    assert as_rows(one.select("unit", "rel_path")) == [("_v", ".b/_c/d.Report/e.json")]
+    assert sorted(f.rsplit("/", 1)[1] for f in hidden_folders(spark, str(root))) == [".b", "_c", "_old", "_older", "_v"]
+    assert as_rows(config_files(spark, str(root))) == [("_v",), ("u",)]
+    assert config_files(spark, str(root), "none.yml").count() == 0
+
+
+def test_rule_files_are_reached_step_by_step(spark, tmp_path, as_rows):
+    pytest.importorskip("yaml")
+    root = tmp_path / "in" / "units"
+    rule = "find_replace: [{find_value: %s}]"
+    written(
+        root,
+        {
+            "u/parameter.yml": "extend: [../../above.txt, t/a.rules, gone.yml, t/bad.yml]\n" + rule % "own",
+            "u/t/a.rules": "extend: ../parameter.yml\n" + rule % "a",
+            "u/t/bad.yml": "a: [",
+            "../above.txt": "extend: ['../outside.json', 'units/_x/list.yml']\n" + rule % "above",
+            "../../outside.json": '{"find_replace": [{"find_value": "outside"}, 5, {"find_value": true, "item_type": 3}], "extend": {"a": 1}}',
+            "_x/list.yml": "- a",
+            "v/parameter.yml": b"\xff\xfe",
+            "w/unused.yml": rule % "unused",
+            "deep [x], y/parameter.yml": rule % "odd",
+        },
+    )
+    units = spark.createDataFrame([("u",), ("v",), ("w",), ("deep [x], y",)], "unit string")
+    starts = units.select("unit", F.concat("unit", F.lit("/parameter.yml")).alias("source_file"))
+    reached = reached_rule_files(spark, str(root), starts)
+    assert as_rows(reached.files.select("source_file")) == [
+        (f"{tmp_path}/in/above.txt",), (f"{tmp_path}/outside.json",), ("deep [x], y/parameter.yml",), ("u/parameter.yml",), ("u/t/a.rules",)
+    ]
+    assert as_rows(reached.unreadable) == [
+        ("_x/list.yml", "holds no mapping"), ("u/gone.yml", "does not exist"),
+        ("u/t/bad.yml", "does not parse: ParserError"), ("v/parameter.yml", "not valid UTF-8"),
+    ]
+    rules = read_unit_rules(spark, str(root), units).orderBy("unit", "visit_no", "rule_no").collect()
+    assert [(r.unit, r.find_value, r.item_types) for r in rules] == [
+        ("deep [x], y", "odd", []), ("u", "outside", []), ("u", "True", []), ("u", "above", []), ("u", "a", []), ("u", "own", [])
+    ]
+    none = reached_rule_files(spark, str(root), starts.filter("unit = 'w'"))
+    assert none.files.count() == 0 and none.unreadable.count() == 0
