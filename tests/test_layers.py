@@ -58,6 +58,35 @@ def test_publish_from_the_table_itself(spark, as_rows):
     assert as_rows(read_table(spark, "shrinking")) == [(8,), (9,)]
 
 
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path, as_rows):
+    publish(spark.range(10), "kept")
+    publish(spark.range(5), "kept")
+    bad = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        publish(bad, "kept")
+    with pytest.raises(Exception, match="no"):
+        publish(bad.withColumn("more", F.lit(1)), "kept")
+    assert as_rows(read_table(spark, "kept")) == [(i,) for i in range(5)]
+    place = Path(spark.sql("DESCRIBE EXTENDED kept").filter("col_name = 'Location'").first().data_type.removeprefix("file:"))
+    assert [p.name for p in place.parent.iterdir() if p.name.startswith("kept")] == [place.name]
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("kept")] == ["kept"]
+
+
+def test_columns_may_change(spark, as_rows):
+    publish(spark.range(3), "changing")
+    publish(read_table(spark, "changing").select(F.lit("x").alias("a"), (F.col("id") * 2).alias("b")), "changing")
+    publish(read_table(spark, "changing").filter("b > 0"), "changing")
+    assert as_rows(read_table(spark, "changing")) == [("x", 2), ("x", 4)]
+    spark.sql("DROP TABLE changing")
+
+
+def test_a_stage_does_not_stay(spark, tmp_path, monkeypatch, as_rows):
+    stage = str(tmp_path / "stage")
+    monkeypatch.setattr("lakekit.sinks.tables.run_dir", lambda spark, label: stage)
+    publish(spark.range(4), "at_path", str(tmp_path / "t"), staged=True)
+    assert as_rows(read_path(spark, str(tmp_path / "t"))) == [(i,) for i in range(4)] and not Path(stage).exists()
+
+
 def test_publish_at_a_path_reads_the_same_both_ways(spark, tmp_path, as_rows):
     path = table_path(str(tmp_path), "silver", "things")
     assert path == f"{tmp_path}/silver/Tables/dbo/things"
