@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload import audit, layers, runs, text
+from workload import audit, layers, runs, text, units
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = [layers, text, audit, runs]
+AREAS = [layers, text, audit, runs, units]
 
 
 def queries() -> dict[str, Query]:
