@@ -313,7 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         filled = rows.filter("doc_id is not null and n_shingles > 0")
         sets = ["set_a", "set_b"]
         classes = filled.groupBy(*sets).agg(F.min("doc_id").alias("head"))
-        classes = work.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+        # Numbered by doc_id: what came first is more often the original, which makes the better hub of its copies.
+        classes = classes.orderBy("head", *sets).withColumn("node", F.monotonically_increasing_id())
+        classes = work.keep(classes)
         placed = rows.drop("bands", "signature", "text_key").join(classes, sets, "left").drop(*sets)
         placed = work.keep(placed)
         nodes = work.keep(
