@@ -17,10 +17,9 @@ from lakekit.session import stored
 PIVOTS = 256
 PREFIX = 32
 SAMPLE_ROWS = 8_192
-SAMPLE_QUERIES = 200
+SAMPLE_QUERIES = 1_000
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 1_024
-SHARES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 1.0)
 
 
 @dataclass(frozen=True)
@@ -107,12 +106,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & nonzero, F.lit(False)))
 
 
+def _footrule_ranks(files: InvertedFiles, ids, vectors, orders, asked: np.ndarray, k: int) -> np.ndarray:
+    """How many rows the footrule puts up to and with each of the true ``k`` nearest of each asked row."""
+    by_id = np.empty(len(ids), dtype=np.int64)
+    by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    found = []
+    for row in asked:
+        others = np.delete(np.arange(len(ids)), row)
+        best = others[_best(vectors[others] @ vectors[row], ids[others], k)]
+        far = files.footrule(orders[row]).astype(np.int64) * len(ids) + by_id
+        found.append(np.searchsorted(np.sort(far), far[best]) + 1)
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+
 def fit(rows: DataFrame, k: int, pivots: int = PIVOTS, prefix: int = PREFIX, target: float = 0.95) -> Index | None:
     """Pivots and share from at most ``SAMPLE_ROWS`` rows, the ones with the least hash of their id.
 
-    The share of rows that the footrule passes on is the smallest of ``SHARES`` at which the sample's own queries
-    find ``target`` of their true neighbours among its rows. Nearest neighbours within a sample lie farther off
-    than in the whole, so this errs towards more. Null if there is no row.
+    The pivots are the first rows of the sample, at most half of it. Up to ``SAMPLE_QUERIES`` of the others, none of
+    which is a pivot, are asked: the share of rows that the footrule passes on is the least at which it puts ``target``
+    of their true neighbours among the sample's rows that far in front. Nearest neighbours within a sample lie farther
+    off than in the whole, so this errs towards more. Null if there is no row.
     """
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
     if taken.empty:
@@ -121,19 +134,15 @@ def fit(rows: DataFrame, k: int, pivots: int = PIVOTS, prefix: int = PREFIX, tar
     taken = taken[taken["embedding"].map(len) == width]
     sample, ids = np.stack(taken["embedding"].to_list()), taken["vec_id"].to_numpy()
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    chosen = unit[:pivots]
+    chosen = unit[: max(1, min(pivots, len(unit) // 2))]
     prefix = min(prefix, len(chosen))
     orders = permutations(sample, chosen, prefix)
-    queries = slice(0, SAMPLE_QUERIES)
-    truth = search_block(Index(chosen, prefix, 1.0, 1.0), ids, sample, orders, ids[queries], sample[queries], orders[queries], k)
-    wanted = set(zip(truth[0].tolist(), truth[1].tolist()))
-    for share in SHARES:
-        index = Index(chosen, prefix, share, 0.0)
-        found = search_block(index, ids, sample, orders, ids[queries], sample[queries], orders[queries], k)
-        recall = len(wanted.intersection(zip(found[0].tolist(), found[1].tolist()))) / max(1, len(wanted))
-        if recall >= target:
-            break
-    return Index(chosen, prefix, share, recall)
+    asked = np.arange(len(chosen), min(len(sample), len(chosen) + SAMPLE_QUERIES))
+    ranks = np.sort(_footrule_ranks(InvertedFiles(orders, len(chosen)), ids, sample, orders, asked, k))
+    if not len(ranks):
+        return Index(chosen, prefix, 1.0, 1.0)
+    limit = int(ranks[int(np.ceil(target * len(ranks))) - 1])
+    return Index(chosen, prefix, limit / len(sample), float((ranks <= limit).mean()))
 
 
 def _ordered(index: Index):

@@ -10,9 +10,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakekit.llm import queries
+from lakekit.llm import permutation, queries
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(TABLES).exists(), reason="no test tables")
@@ -120,6 +121,40 @@ def test_permutation_index(run, table):
     assert hits / wanted >= 0.9
 
 
+def recall(vectors, found, is_query, k=20):
+    """The share of the true nearest that are among the found ones, over all queries, and for the worst of them."""
+    ids = np.array([r.vec_id for r in vectors])
+    table = np.array([r.embedding for r in vectors], dtype=np.float64)
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    shares = []
+    for at in np.flatnonzero(is_query(ids)):
+        scores = table @ table[at]
+        order = [int(ids[i]) for i in np.lexsort((ids, -scores)) if i != at][:k]
+        shares.append(len(got[int(ids[at])].intersection(order)) / k)
+    return np.mean(shares), min(shares)
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_permutation_index_finds_nine_in_ten(spark, scale):
+    vectors = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").collect()
+    found = queries.QUERIES["op4_permutation_index"](spark, f"/root/testdata/{scale}").collect()
+    assert recall(vectors, found, lambda ids: ids % 20 == 0)[0] >= 0.9
+
+
+def test_permutation_index_over_several_blocks(spark, monkeypatch):
+    """The share is fitted on a part of the rows, by queries that are no pivots, and holds over blocks."""
+    monkeypatch.setattr(permutation, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(permutation, "BLOCK_QUERIES", 60)
+    monkeypatch.setattr(permutation, "SAMPLE_ROWS", 1_200)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = permutation.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    assert recall(table.collect(), found, lambda ids: ids % 20 == 0)[0] >= 0.9
+    index = permutation.fit(permutation.usable(table), 20)
+    assert 0.94 <= index.sample_recall <= 1
+
+
 def test_url_filters(run, table):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
     rows = {r.page_id: r for r in run("op5_url_filters")}
