@@ -14,6 +14,7 @@ from lakekit.session import stored
 
 BLOCK_TOKENS = 1_000_000
 STEPS = 24
+MAX_EXPONENT = 64.0
 
 
 def tokens(text: Column) -> Column:
@@ -37,10 +38,18 @@ def repetition(sources: DataFrame, exponent: float) -> float:
 
 
 def bisect(fine, steps: int = STEPS) -> float:
-    """The least exponent in 0..1 from which on ``fine`` holds, to within ``2 ** -steps``."""
+    """The least exponent from which on ``fine`` holds, to within ``2 ** -steps`` of the range it lies in.
+
+    Exponents over 1 favour large sources more than their own size does. Where none up to ``MAX_EXPONENT`` will do,
+    weights hardly change any more, and that is an error.
+    """
     if fine(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    while not fine(high):
+        if high >= MAX_EXPONENT:
+            raise ValueError(f"no exponent up to {MAX_EXPONENT:g} meets the target")
+        low, high = high, 2 * high
     for _ in range(steps):
         middle = (low + high) / 2
         low, high = (low, middle) if fine(middle) else (middle, high)
@@ -49,7 +58,9 @@ def bisect(fine, steps: int = STEPS) -> float:
 
 def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
     """The exponent that meets the target entropy, a share of the greatest one there can be, from above; or the
-    least one that keeps to the repetition limit, if that is greater. Without either, 1: the sources as they are."""
+    least one that keeps to the repetition limit, if that is greater. Without either, 1: the sources as they are.
+    A target below what the sources have by nature takes an exponent over 1; one that equal largest sources keep out
+    of reach is an error."""
     exponent = 0.0 if target_entropy is not None or max_repeats is not None else 1.0
     if target_entropy is not None:
         goal = target_entropy * log(max(1, sources.count()))
