@@ -47,13 +47,14 @@ def features(text: str | None, words: dict[str, int]) -> tuple[list[int], list[f
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """``doc_id, label, text`` of at most ``limit`` labelled documents, the least by hash of their id.
 
-    Null labels and ids are left out; of several labels of a document the greatest counts. The sample is bounded,
-    so it is sent to the scan of the texts instead of moving these.
+    Null labels and ids are left out; of several labels of a document the greatest counts, of several texts the least.
+    The sample is bounded, in rows too, so it is sent to the scan of the texts instead of moving these.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def telling_words(sample: DataFrame, size: int = VOCABULARY, min_docs: int = MIN_DOCS, least: float = MIN_SCORE) -> list[tuple[str, float]]:
