@@ -189,10 +189,16 @@ def write_ids(docs: DataFrame, target: str, tokenizer: str, end_id: int, bits: b
     The target is a folder of Parquet files that serve as containers. Files are shards in order, by range of
     ``doc_id``; a row is a segment of whole documents with its binary data, the index of its chunks (ids, place
     and length of each compressed plane) and that of its documents. Spark's writers commit it, so repeated tasks
-    leave nothing behind, and any store that Spark writes to will do. Null ids come first, equal ids by text.
+    leave nothing behind, and any store that Spark writes to will do. Null ids come first, equal ids by a hash of
+    their text, so that rows of one id, or without one, are ranged over as many shards as they need.
+
+    Null and empty texts are documents of the end id alone; rows that repeat are documents of their own. Other
+    columns are not read, whatever they are called. No rows give no documents.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    turn = F.xxhash64("text").alias("turn")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", turn, F.spark_partition_id().alias("part"))
+    order = ["doc_id", "turn", "text", "part"]
+    ordered = ordered.repartitionByRange("doc_id", "turn", "part").sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_write(tokenizer, end_id, bits), _FILE).write.option("compression", "none").parquet(target)
 
 

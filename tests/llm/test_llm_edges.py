@@ -148,3 +148,43 @@ def test_rows_whose_texts_hash_alike_are_told_apart(spark):
     docs = spark.createDataFrame([(None, one), (None, other)], "doc_id long, text string")
     keys = substring.keyed(docs).select("doc_id", "twin").collect()
     assert keys[0].twin == keys[1].twin and keys[0].doc_id != keys[1].doc_id
+
+
+def test_ids_of_odd_rows(spark, tmp_path):
+    """Null, empty and repeated rows, rows without an id and one id for a third of them; no rows at all."""
+    rows = [(None, "a b"), (None, "a b"), (None, None), (3, ""), (1, "x"), (1, "y z"), *[(2, f"text {i % 5}") for i in range(30)]]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, start int, segment string")
+    tokens.write_ids(docs.repartition(4), str(tmp_path / "t"), queries.TOKENIZER, end_id=2)
+    read = tokens.read_ids(spark, str(tmp_path / "t")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in read) == sorted((i is not None, i or 0) for i, _ in rows)
+    placed = sorted(read, key=lambda r: r.start)
+    assert [r.start for r in placed] == [sum(p.n_tokens for p in placed[:i]) for i in range(len(placed))]
+    assert [r.doc_id or 0 for r in placed] == sorted(r.doc_id or 0 for r in read)
+    assert min(r.n_tokens for r in read) == 1
+    tokens.write_ids(docs.limit(0), str(tmp_path / "none"), queries.TOKENIZER, end_id=2)
+    assert tokens.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_of_one_id_are_ranged_over_shards(spark):
+    rows = spark.range(0, 4_000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 1_000).alias("text"))
+    turn, part = F.xxhash64("text"), F.spark_partition_id()
+    ranged = rows.select("*", turn.alias("turn"), part.alias("part")).repartitionByRange(8, "doc_id", "turn", "part")
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1_000
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (9, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert sorted((r.doc_id, r.label, r.text) for r in rows) == [(1, 1, "text 0"), (2, 0, None)]
+
+
+def test_exponents_reach_targets_on_both_sides(spark):
+    sources = spark.createDataFrame([("a", 800, 1000), ("b", 120, 1000), ("c", 50, 1000), ("d", 30, 1000)], "source string, tokens long, all_tokens long")
+    for target in (0.9, 0.3, 0.1):
+        exponent = mixing.find_exponent(sources, target, None)
+        assert abs(mixing.entropy(sources, exponent) - target * np.log(4)) < 1e-5 and (exponent > 1) == (target < 0.5)
+    equal = spark.createDataFrame([("a", 5, 10), ("b", 5, 10)], "source string, tokens long, all_tokens long")
+    with pytest.raises(ValueError, match="no exponent"):
+        mixing.find_exponent(equal, 0.5, None)
