@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,18 +38,18 @@ def repetition(sources: DataFrame, exponent: float) -> float:
     return float(2.718281828459045 ** (row.most - row.least))
 
 
-def bisect(fine, steps: int = STEPS) -> float:
+def bisect(fine, steps: int = STEPS) -> float | None:
     """The least exponent from which on ``fine`` holds, to within ``2 ** -steps`` of the range it lies in.
 
-    Exponents over 1 favour large sources more than their own size does. Where none up to ``MAX_EXPONENT`` will do,
-    weights hardly change any more, and that is an error.
+    Exponents over 1 favour large sources more than their own size does. Null if none up to ``MAX_EXPONENT`` will do,
+    beyond which weights hardly change.
     """
     if fine(0.0):
         return 0.0
     low, high = 0.0, 1.0
     while not fine(high):
         if high >= MAX_EXPONENT:
-            raise ValueError(f"no exponent up to {MAX_EXPONENT:g} meets the target")
+            return None
         low, high = high, 2 * high
     for _ in range(steps):
         middle = (low + high) / 2
@@ -57,16 +58,25 @@ def bisect(fine, steps: int = STEPS) -> float:
 
 
 def find_exponent(sources: DataFrame, target_entropy: float | None, max_repeats: float | None) -> float:
-    """The exponent that meets the target entropy, a share of the greatest one there can be, from above; or the
-    least one that keeps to the repetition limit, if that is greater. Without either, 1: the sources as they are.
-    A target below what the sources have by nature takes an exponent over 1; one that equal largest sources keep out
-    of reach is an error."""
+    """The exponent that meets the target entropy, a share of the greatest one there can be, from above, as far as it
+    keeps to the repetition limit; with a limit alone the least that keeps to it. Without either, 1: the sources as they are.
+
+    A target below what the sources have by nature takes an exponent over 1. Where several sources are equally
+    large it may be out of reach: then the sources stay as they are, with a warning.
+    """
     exponent = 0.0 if target_entropy is not None or max_repeats is not None else 1.0
     if target_entropy is not None:
         goal = target_entropy * log(max(1, sources.count()))
-        exponent = bisect(lambda a: entropy(sources, a) <= goal + 1e-12) if entropy(sources, 0.0) > goal else 0.0
+        if entropy(sources, 0.0) > goal:
+            exponent = bisect(lambda a: entropy(sources, a) <= goal + 1e-12)
+        if exponent is None:
+            warnings.warn(f"no exponent up to {MAX_EXPONENT:g} brings the entropy down to {goal:.4f}; sources stay as they are")
+            exponent = 1.0
     if max_repeats is not None and repetition(sources, exponent) > max_repeats:
-        exponent = max(exponent, bisect(lambda a: repetition(sources, a) <= max_repeats))
+        if exponent > 1:
+            exponent -= bisect(lambda less: repetition(sources, max(1.0, exponent - less)) <= max_repeats)
+        else:
+            exponent = bisect(lambda a: repetition(sources, a) <= max_repeats)
     return exponent
 
 

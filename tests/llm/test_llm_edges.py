@@ -186,5 +186,7 @@ def test_exponents_reach_targets_on_both_sides(spark):
         exponent = mixing.find_exponent(sources, target, None)
         assert abs(mixing.entropy(sources, exponent) - target * np.log(4)) < 1e-5 and (exponent > 1) == (target < 0.5)
     equal = spark.createDataFrame([("a", 5, 10), ("b", 5, 10)], "source string, tokens long, all_tokens long")
-    with pytest.raises(ValueError, match="no exponent"):
-        mixing.find_exponent(equal, 0.5, None)
+    with pytest.warns(UserWarning, match="no exponent"):
+        assert mixing.find_exponent(equal, 0.5, None) == 1
+    limited = mixing.find_exponent(sources, 0.1, 3.0)
+    assert 1 < limited < mixing.find_exponent(sources, 0.1, None) and abs(mixing.repetition(sources, limited) - 3) < 1e-4
