@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from lakekit.functions import display_name, status_of
 from lakekit.operators.checks import (
+    in_domain,
     look_up,
     only_unit,
     outside_domain,
+    quarantine,
     require_domain,
     require_mapping,
     without_mapping,
@@ -53,3 +55,16 @@ def test_values(spark, as_rows):
     df = spark.createDataFrame([("n", "f", True), ("", "f", False), (None, "f", True)], "n string, f string, ok boolean")
     got = df.select(display_name(F.col("n"), F.col("f")), status_of(F.col("ok")))
     assert as_rows(got) == [("f", "failure"), ("f", "success"), ("n", "success")]
+
+
+def test_quarantine_counts_while_it_writes(spark, environments, as_rows, tmp_path):
+    rows = environments.withColumn("n", F.length("e"))
+    checked = quarantine(rows, {"domain": in_domain("e"), "short": F.col("n") < 5}, f"{tmp_path}/q")
+    assert as_rows(checked.valid) == [("Prod", 4), ("TEST", 4), ("dev", 3)]
+    assert as_rows(checked.rejected) == sorted([("", 0, ["domain"]), ("staging", 7, ["domain", "short"]), (None, None, ["domain", "short"])], key=repr)
+    assert as_rows(checked.violations) == [("domain", 3, 6), ("short", 2, 6)]
+    assert as_rows(checked.gate) == [(True, 1)]
+    clean = quarantine(rows.filter("e = 'dev'"), {"domain": in_domain("e")})
+    assert as_rows(clean.gate) == [(False, 0)] and clean.rejected.count() == 0
+    none = quarantine(rows.limit(0), {"domain": in_domain("e")})
+    assert as_rows(none.violations) == [("domain", 0, 0)] and none.valid.columns == ["e", "n"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekit.functions import display_name, status_of
-from lakekit.operators.checks import look_up, outside_domain, without_mapping
+from lakekit.operators.checks import Checked, in_domain, look_up, outside_domain, quarantine, without_mapping
 from lakekit.operators.matching import match
 from lakekit.operators.reconcile import discover_units, existing, find_by_name, missing, orphans, reconcile
 from lakekit.operators.rollup import count_by, flatten_fragments, result_document, roll_up, roll_up_requested
@@ -83,6 +83,36 @@ def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outside_domain(_orders(spark, sf_dir), "o_orderstatus", ["o", "p"])
 
 
+def _checked_orders(spark: SparkSession, sf_dir: str) -> Checked:
+    """Orders with an environment, checked for their status, their priority's environment and the price."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), "o_orderstatus", "o_totalprice")
+    return quarantine(
+        look_up(orders, _map(spark), "priority", "environment"),
+        {
+            "status": in_domain("o_orderstatus", ["o", "p", "f"]),
+            "environment": in_domain("environment"),
+            "price": F.col("o_totalprice") < 300_000,
+        },
+    )
+
+
+def quarantine_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_orders(spark, sf_dir).valid.select("o_orderkey", "environment")
+
+
+def quarantine_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = _checked_orders(spark, sf_dir).rejected
+    return rejected.select("o_orderkey", "environment", F.array_join("failed", "|").alias("failed"))
+
+
+def quarantine_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_orders(spark, sf_dir).violations
+
+
+def quarantine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked_orders(spark, sf_dir).gate
+
+
 def count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(_table(spark, sf_dir, "events"), "event_type")
 
@@ -181,6 +211,10 @@ QUERIES = {
     "environment_lookup": environment_lookup,
     "environment_missing": environment_missing,
     "domain_check": domain_check,
+    "quarantine_valid": quarantine_valid,
+    "quarantine_rejected": quarantine_rejected,
+    "quarantine_violations": quarantine_violations,
+    "quarantine_gate": quarantine_gate,
     "count_by_type": count_by_type,
     "outcome_names": outcome_names,
     "outcome_rollup": outcome_rollup,
@@ -202,6 +236,15 @@ OUTCOMES = """outcomes AS (
 FULL_NAME = "coalesce(nullif(name, ''), folder)"
 STATUS = "CASE WHEN success THEN 'success' ELSE 'failure' END"
 
+CHECKED = """checked AS (
+    SELECT o_orderkey, environment,
+           concat_ws('|', CASE WHEN o_orderstatus NOT IN ('O', 'P', 'F') THEN 'status' END,
+                     CASE WHEN environment IS NULL THEN 'environment' END,
+                     CASE WHEN o_totalprice >= 300000 THEN 'price' END) AS failed
+    FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'prod' WHEN '2-HIGH' THEN 'prod'
+                                         WHEN '3-MEDIUM' THEN 'test' WHEN '5-LOW' THEN 'dev' END AS environment FROM orders)
+)"""
+
 ORACLES = {
     "reconcile": """
         SELECT coalesce(d.doc_id, a.doc_id) AS doc_id,
@@ -239,6 +282,17 @@ ORACLES = {
     "domain_check": """
         SELECT o_orderkey, o_orderpriority AS priority, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'P')
     """,
+    "quarantine_valid": f"WITH {CHECKED} SELECT o_orderkey, environment FROM checked WHERE failed = ''",
+    "quarantine_rejected": f"WITH {CHECKED} SELECT o_orderkey, environment, failed FROM checked WHERE failed <> ''",
+    "quarantine_violations": f"""
+        WITH {CHECKED}
+        SELECT c AS "check", count(*) FILTER (contains(failed, c)) AS violations, count(*) AS rows
+        FROM checked, (SELECT unnest(['status', 'environment', 'price']) AS c) GROUP BY c
+    """,
+    "quarantine_gate": f"""
+        WITH {CHECKED} SELECT count(*) > 0 AS failed, CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code
+        FROM checked WHERE failed <> ''
+    """,
     "count_by_type": "SELECT event_type, count(*) AS items FROM events GROUP BY event_type",
     "outcome_names": f"WITH {OUTCOMES} SELECT environment, folder, {FULL_NAME} AS full_name, {STATUS} AS status FROM outcomes",
     "outcome_rollup": f"""
