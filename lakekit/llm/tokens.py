@@ -16,8 +16,14 @@ from lakekit.llm.hashing import byte_rows
 
 BLOCK_IDS = 16_384
 SEGMENT_IDS = 1 << 20
-_CACHED_CHUNKS = 300_000
-_JOINED_CHUNKS = 4_096
+_CACHED_CHUNKS = 600_000
+_JOINED_CHUNKS = 128
+_BYTES_AT_ONCE = 1 << 20
+
+# The bytes of the ASCII and Latin-1 letters in UTF-8, which are lower-cased one by one and never joined to others,
+# and the ASCII marks.
+_LETTERS = bytes(c for c in [*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)] if c not in (0x97, 0xB7))
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Encoder:
@@ -26,6 +32,10 @@ class Encoder:
     Where the tokenizer drops white space and never looks across it, a text's ids are those of its chunks between
     ASCII spaces, in order. Chunks recur, so each is encoded once per worker, many at a time, and the memory for them is
     bounded. Whether that holds is tried on the tokenizer; if not, texts are encoded as they are.
+
+    Where the tokenizer is moreover of the kind that lower-cases, keeps runs of letters and of marks apart and ends each
+    by a suffix, a chunk of plain letters is one word to its model, marks after it are another, and its case does not
+    matter. Such words go to the model without the steps before it; all other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -38,6 +48,12 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
         alone = [self._ids(text) for text in ("ab", "cd", "!?")]
         self.by_chunk = self._ids(" ab\tcd\n\n !? ") == sum(alone, [])
+        self.words = _word_tokenizer(self.tokenizer) if self.by_chunk else None
+        if self.words:
+            vocabulary, suffix = self.words.get_vocab(), self.words.model.end_of_word_suffix
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+            self.special = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -47,30 +63,125 @@ class Encoder:
             keys = chunks[at : at + _JOINED_CHUNKS]
             part = [key.decode("utf-8", "replace") for key in keys]
             encoded = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            ids = np.asarray(encoded.ids, dtype="<u4").tobytes()
             places = np.fromiter((place for place, _ in encoded.offsets), dtype=np.int64, count=len(encoded.ids))
             begins = np.cumsum([0] + [len(chunk) + 1 for chunk in part])
-            cuts = (4 * np.searchsorted(places, begins)).tolist()
-            for key, begin, end in zip(keys, cuts, cuts[1:]):
-                self.chunks[key] = ids[begin:end]
+            self._store(keys, encoded.ids, np.searchsorted(places, begins))
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), _JOINED_CHUNKS):
+            keys = words[at : at + _JOINED_CHUNKS]
+            ids = self.words.encode(b" ".join(keys).decode().lower(), add_special_tokens=False).ids
+            cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+            if len(cuts) == len(keys) + 1:
+                self._store(keys, ids, cuts)
+            else:
+                self._learn(keys)
+
+    def _store(self, keys: list[bytes], ids: list[int], cuts: np.ndarray) -> None:
+        data, cuts = np.asarray(ids, dtype="<u4").tobytes(), (4 * cuts).tolist()
+        for key, begin, end in zip(keys, cuts, cuts[1:]):
+            self.chunks[key] = data[begin:end]
+
+    def _learn_all(self, fresh: set[bytes]) -> None:
+        """Ids of chunks that are not known, by words where they are made of such."""
+        for chunk in [chunk for chunk in fresh if chunk in self.older]:
+            self.chunks[chunk] = self.older[chunk]
+            fresh.discard(chunk)
+        if not self.words or not _is_text(b" ".join(fresh)):
+            return self._learn(list(fresh))
+        words, others, pairs = set(), set(), []
+        for chunk in fresh:
+            word, marks = _word_and_marks(chunk)
+            if not word:
+                others.add(chunk)
+                continue
+            words.add(word)
+            if marks:
+                others.add(marks)
+                pairs.append((chunk, word, marks))
+        self._learn([chunk for chunk in others if chunk not in self.chunks])
+        self._learn_words([word for word in words if word not in self.chunks])
+        for chunk, word, marks in pairs:
+            self.chunks[chunk] = self.chunks[word] + self.chunks[marks]
+
+    def _chunks(self, text: bytes) -> list[bytes]:
+        """The chunks of a text, A-Z lower-cased if the tokenizer does so and neither accents nor special tokens differ."""
+        if self.words and b"\xcc" not in text and b"\xcd" not in text:
+            low = text.lower()
+            if not any(token in low for token in self.special):
+                return low.split()
+        return text.split()
+
+    def _encode_some(self, texts: list[bytes]) -> Iterator[bytes]:
+        if len(self.chunks) > _CACHED_CHUNKS:
+            # what is still in use moves on from the older half, the rest of it is forgotten
+            self.older, self.chunks = self.chunks, {}
+        split, fresh = [], set()
+        for text in texts:
+            chunks = self._chunks(text)
+            ids = list(map(self.chunks.get, chunks))
+            gaps = [place for place, known in enumerate(ids) if known is None]
+            fresh.update([chunks[place] for place in gaps])
+            split.append((ids, gaps, [chunks[place] for place in gaps]))
+        self._learn_all(fresh)
+        for ids, gaps, chunks in split:
+            for place, chunk in zip(gaps, chunks):
+                ids[place] = self.chunks[chunk]
+            yield b"".join(ids)
 
     def encode(self, texts: Iterator[np.ndarray]) -> Iterator[bytes]:
         """Ids of each text, given as UTF-8 bytes."""
+        some, size = [], 0
         for data in texts:
             text = data.tobytes()
             if not self.by_chunk:
                 yield np.asarray(self._ids(text.decode("utf-8", "replace")), dtype="<u4").tobytes()
                 continue
-            chunks = text.split()
-            fresh = set(chunks).difference(self.chunks)
-            if fresh:
-                if len(self.chunks) > _CACHED_CHUNKS:
-                    # what is still in use moves on from the older half, the rest of it is forgotten
-                    self.older, self.chunks, fresh = self.chunks, {}, set(chunks)
-                known = {chunk: self.older[chunk] for chunk in fresh if chunk in self.older}
-                self.chunks.update(known)
-                self._learn([chunk for chunk in fresh if chunk not in known])
-            yield b"".join(map(self.chunks.__getitem__, chunks))
+            some.append(text)
+            size += len(text)
+            if size >= _BYTES_AT_ONCE:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        yield from self._encode_some(some)
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _word_and_marks(chunk: bytes) -> tuple[bytes, bytes]:
+    """The plain letters a chunk begins with and the marks after them, if it is nothing else; else two empty strings."""
+    marks = chunk.translate(None, _LETTERS)
+    if marks.translate(None, _MARKS) or not chunk.endswith(marks):
+        return b"", b""
+    return chunk[: len(chunk) - len(marks)], marks
+
+
+def _word_tokenizer(tokenizer):
+    """The model alone over words between spaces, if the steps before it do no more to plain letters; else None."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    steps = [normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]
+    cuts = [pre_tokenizers.Split(Regex(words), "removed", invert=True), as_bytes]
+    wanted = normalizers.Sequence(steps).__getstate__(), pre_tokenizers.Sequence(cuts).__getstate__()
+    found = [step and step.__getstate__() for step in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    model = tokenizer.model
+    if tuple(found) != wanted or not isinstance(model, models.BPE) or not model.end_of_word_suffix:
+        return None
+    if model.dropout or model.continuing_subword_prefix or model.unk_token or model.ignore_merges or tokenizer.post_processor:
+        return None
+    added = [token.content.encode() for token in tokenizer.get_added_tokens_decoder().values()]
+    if any(token in (b"".join(_word_and_marks(token)), token.translate(None, _LETTERS)) for token in added):
+        return None  # such a token may stand inside a word or its marks
+    alone = Tokenizer(model)
+    alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+    return alone
 
 
 _encoders: dict[str, Encoder] = {}
