@@ -1,7 +1,10 @@
 """Ids of texts by words and chunks: the same as those of the whole tokenizer, which few chunks need."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -82,3 +85,20 @@ def test_added_tokens_inside_words(tmp_path):
     encoder = tokens.Encoder(str(tmp_path / "added.json"))
     text = "Zorbleth orble, ORBLE!"
     assert encoded(encoder, [text]) == [tokenizer.encode(text, add_special_tokens=False).ids]
+
+
+def test_pieces_of_words(monkeypatch):
+    passed, learn = [], tokens.Encoder._learn
+    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, chunks: passed.extend(chunks) or learn(self, chunks))
+    texts = ["Quorbith quorbith, QUORBITH; wexl\u00f6r", None, "b2 Wexl\u00f6r."]
+    batch = pa.record_batch([pa.array([5, 6, None], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = [row for out in tokens.pieces(PATH, 1, 4)(iter([batch])) for row in out.to_pylist()]
+    wanted = []
+    for doc_id, ids in zip([5, 6, None], whole([text or "" for text in texts])):
+        ids = np.asarray([*ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 4)):
+            part = ids[start : start + 4]
+            wanted.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+    assert [tuple(row.values()) for row in got] == wanted
+    assert sorted(passed) == [b",", b".", b";", b"b2"]
