@@ -27,11 +27,11 @@ _CLASS = r"\[\^?\]?(?:[^\[\]]|\[[^\]]*\])*\]"
 _DEPTH = 6
 
 # From the inside out: what may be missing, looks around or is one of several is no required text; other groups are
-# opened. Each entry is a pattern and what takes its place.
+# opened. Each entry is a pattern and what takes its place. A quantifier is no character that another one follows.
 _STEPS = [
     (rf"{_BREAK}(?:{_MAY_MISS}|{_REPEATED})", _BREAK),
-    (rf"[^()|{_BREAK}]{_MAY_MISS}", _BREAK),
-    (rf"([^()|{_BREAK}]){_REPEATED}", rf"$1{_BREAK}"),
+    (rf"[^()|?*+{_BREAK}]{_MAY_MISS}", _BREAK),
+    (rf"([^()|?*+{_BREAK}]){_REPEATED}", rf"$1{_BREAK}"),
     (rf"\(\?<?[=!][^()]*\)(?:{_MAY_MISS}|{_REPEATED})?", _BREAK),
     (rf"{_OPENING}[^()]*\){_MAY_MISS}", _BREAK),
     (rf"{_OPENING}[^()]*\|[^()]*\)(?:{_REPEATED})?", _BREAK),

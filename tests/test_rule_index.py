@@ -189,3 +189,21 @@ def test_rules_are_keyed_by_what_fewest_share(many):
                      "[#-#]{#}['**/deep#/**/a?.json']": {"path"}, "left#=([#-#]+)|right#=[#-#]+[]": {"line"}}
     folders = [row.key for row in index if row.kind == "folder"]
     assert len(folders) == len(set(folders)) == 200
+
+
+def test_groups_that_lazily_or_possessively_may_miss(spark):
+    wanted = {
+        "(abcd)??": None,
+        "(abcd)*?": None,
+        "(abcd)??efgh": ["efgh"],
+        "(abcd)*?efgh": ["efgh"],
+        "(abcd)?+efgh": ["efgh"],
+        "(abcd)*+efgh": ["efgh"],
+        "(abcd)+?efgh": ["abcd"],
+        "((abcd)??wxyz)??efghi": ["efghi"],
+        "abcd??efgh": ["efgh"],
+        r"(abcd\?)?efgh\?": ["efgh?"],
+        r"abcd\??efgh": ["abcd"],
+    }
+    got = pieces_of(spark, list(wanted))
+    assert {pattern: got[i] for i, pattern in enumerate(wanted)} == wanted
