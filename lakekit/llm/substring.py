@@ -220,6 +220,9 @@ def repeated_windows(docs: DataFrame, window: int, work: Scratch, longest: int |
     the full length has one of its own, chosen by its content, which is repeated if the window is. Only windows
     made of repeated ones are looked up at the next level, which is twice as long, up to ``longest`` (the window
     itself, if not given) or until none is left. Each level looks up 96 bits of all its candidates.
+
+    Without ``longest`` the last level is left to the query that uses it: where that joins the same rows by the same
+    key again, Spark shuffles them once for both joins.
     """
     rows = keyed(docs)
     half = (window + 1) // 2
@@ -229,7 +232,9 @@ def repeated_windows(docs: DataFrame, window: int, work: Scratch, longest: int |
     while length < (longest or window):
         to = min(2 * length, window) if length < window else 2 * length
         candidates = with_places(rows, found, "inner")
-        found = work.keep(_answers(candidates.mapInArrow(_next_level(length, to, how), _SEEN)))
+        found = _answers(candidates.mapInArrow(_next_level(length, to, how), _SEEN))
+        if longest or to < window:
+            found = work.keep(found)
         length, how = to, None
         if length >= window:
             levels.append(found.select(*_KEY, F.lit(length).alias("length"), "first", "last"))
