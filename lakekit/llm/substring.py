@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +208,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
     same = (docs["doc_id"] == places["doc_id"]) & (docs["twin"] == places["twin"])
-    named = [docs["own_id"], docs["doc_id"], docs["twin"], docs["text"]]
-    return docs.join(places, same, how).select(*named, places["first"], places["last"])
+    return docs.join(places, same, how).select(*[docs[c] for c in docs.columns], places["first"], places["last"])
 
 
 def repeated_windows(docs: DataFrame, window: int, work: Scratch, longest: int | None = None) -> DataFrame:
@@ -224,17 +223,22 @@ def repeated_windows(docs: DataFrame, window: int, work: Scratch, longest: int |
     Without ``longest`` the last level is left to the query that uses it: where that joins the same rows by the same
     key again, Spark shuffles them once for both joins.
     """
-    rows = keyed(docs)
+    return _levels(keyed(docs), window, work.keep, longest)
+
+
+def _levels(rows: DataFrame, window: int, keep: Callable[[DataFrame], DataFrame], longest: int | None = None) -> DataFrame:
+    """``repeated_windows`` of rows that have their key. All their columns go through the joins, so that a later join
+    of the same rows finds the shuffle it needs."""
     half = (window + 1) // 2
     reach = window - half + 1
-    found = work.keep(_answers(spread(rows).mapInArrow(_first_level(half, reach), _SEEN)))
+    found = keep(_answers(spread(rows.select(*_KEY, "text")).mapInArrow(_first_level(half, reach), _SEEN)))
     length, how, levels = half, reach, []
     while length < (longest or window):
         to = min(2 * length, window) if length < window else 2 * length
         candidates = with_places(rows, found, "inner")
         found = _answers(candidates.mapInArrow(_next_level(length, to, how), _SEEN))
         if longest or to < window:
-            found = work.keep(found)
+            found = keep(found)
         length, how = to, None
         if length >= window:
             levels.append(found.select(*_KEY, F.lit(length).alias("length"), "first", "last"))
@@ -322,8 +326,8 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 def _replace(window: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(batch.columns)
-            firsts, lasts = rows[-2].to_pylist(), rows[-1].to_pylist()
+            rows = [batch.column(held_as(place, c)) for place, c in enumerate(columns)]
+            firsts, lasts = batch.column("first").to_pylist(), batch.column("last").to_pylist()
             text_at, size_at = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
             texts = rows[text_at].to_pylist()
             sizes = rows[size_at].to_pylist() if size_at is not None else None
@@ -340,21 +344,27 @@ def _replace(window: int, columns: list[str]):
             rows[text_at] = pa.array(texts, rows[text_at].type)
             if size_at is not None:
                 rows[size_at] = pa.array(sizes, rows[size_at].type)
-            yield pa.RecordBatch.from_arrays(rows[: len(columns)], columns)
+            yield pa.RecordBatch.from_arrays(rows, columns)
 
     return run
 
 
+def held_as(place: int, column: str) -> str:
+    """What a column of the caller's is called beside the key; the text keeps its name, so it is held once."""
+    return column if column == "text" else f"c{place}"
+
+
 def cut_texts(docs: DataFrame, window: int = 35) -> DataFrame:
     """The rows of ``docs``, all their columns, without the words that ``without_repeats`` removes.
 
     Texts that lose nothing stay as they are; of others the parts left are joined by a space, and ``n_chars``, where
     there is such a column, follows. A document may be left with an empty text.
+
+    The first level is written to the shared folder; the last one and the cut are left to the query that uses the
+    result, which shuffles the rows once for both. A result that is used several times is best written first.
     """
-    with Scratch(docs.sparkSession, "substring") as work:
-        places = stored(repeated_windows(docs, window, work), "substring-places")
-    kept = [F.col(f"d.`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns)]
-    key, twin = F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")), F.hash("d.text")
-    same = (key == F.col("p.doc_id")) & (twin == F.col("p.twin"))
-    rows = docs.alias("d").join(places.alias("p"), same, "left").select(*kept, F.col("p.first"), F.col("p.last"))
-    return rows.mapInArrow(_replace(window, docs.columns), docs.schema)
+    own = [F.col(f"`{c}`").alias(held_as(place, c)) for place, c in enumerate(docs.columns)]
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_id"), F.hash("text").alias("twin")
+    rows = docs.select(*key, *own)
+    places = _levels(rows, window, lambda found: stored(found, "substring-places"))
+    return with_places(rows, places, "left").mapInArrow(_replace(window, docs.columns), docs.schema)
