@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from lakekit.llm.hashing import byte_rows
 BLOCK_IDS = 16_384
 SEGMENT_IDS = 1 << 20
 _CACHED_CHUNKS = 600_000
+_KEPT_CHUNKS = 300_000
 _JOINED_CHUNKS = 128
 _BYTES_AT_ONCE = 1 << 20
 
@@ -30,8 +32,9 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer file of the tokenizers library.
 
     Where the tokenizer drops white space and never looks across it, a text's ids are those of its chunks between
-    ASCII spaces, in order. Chunks recur, so each is encoded once per worker, many at a time, and the memory for them is
-    bounded. Whether that holds is tried on the tokenizer; if not, texts are encoded as they are.
+    ASCII spaces, in order. Chunks recur, so those known are kept, also for a worker's next tasks; fresh ones are encoded
+    many at a time. The memory for them is bounded, more closely between tasks than in one. Whether the above holds is
+    tried on the tokenizer; if not, texts are encoded as they are.
 
     Where the tokenizer is moreover of the kind that lower-cases, keeps runs of letters and of marks apart and ends each
     by a suffix, a chunk of plain letters is one word to its model, marks after it are another, and its case does not
@@ -129,6 +132,12 @@ class Encoder:
                 ids[place] = self.chunks[chunk]
             yield b"".join(ids)
 
+    def rest(self) -> None:
+        """After a task. The worker's next ones may be others, so only chunks met early stay, the frequent among them."""
+        if self.older or len(self.chunks) > _KEPT_CHUNKS:
+            known = chain(self.chunks.items(), self.older.items())
+            self.chunks, self.older = dict(islice(known, _KEPT_CHUNKS)), {}
+
     def encode(self, texts: Iterator[np.ndarray]) -> Iterator[bytes]:
         """Ids of each text, given as UTF-8 bytes."""
         some, size = [], 0
@@ -199,6 +208,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -
     encoder, end = encoder_of(path), np.asarray([end_id], dtype="<u4").tobytes()
     for batch in batches:
         yield batch, [ids + end for ids in encoder.encode(byte_rows(batch.column("text")))]
+    encoder.rest()
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:

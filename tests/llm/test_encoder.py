@@ -102,3 +102,18 @@ def test_pieces_of_words(monkeypatch):
             wanted.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
     assert [tuple(row.values()) for row in got] == wanted
     assert sorted(passed) == [b",", b".", b";", b"b2"]
+
+
+@pytest.mark.parametrize("cached", [6, 600_000])
+def test_few_chunks_stay_after_a_task(monkeypatch, cached):
+    monkeypatch.setattr(tokens, "_KEPT_CHUNKS", 3, raising=False)
+    monkeypatch.setattr(tokens, "_CACHED_CHUNKS", cached)
+    monkeypatch.setattr(tokens, "_BYTES_AT_ONCE", 20)
+    monkeypatch.setattr(tokens, "_encoders", {})
+    texts = [*ODD, "the quick brown fox jumps over the lazy dog, again and again", None]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    for _ in range(2):
+        found = [np.frombuffer(ids, "<u4").tolist() for _, rows in tokens.encoded_batches(iter([batch, batch]), PATH, 2) for ids in rows]
+        assert found == 2 * [ids + [2] for ids in whole([text or "" for text in texts])]
+        encoder = tokens.encoder_of(PATH)
+        assert encoder.chunks and len(encoder.chunks) <= 3 and not encoder.older
